@@ -65,4 +65,5 @@ def join_skewed(rows: DataFrame, keys: DataFrame, on: list[str], count: str, tot
     they are; the rest is dealt by key, none of which is large.
     """
     heavy, light = split_heavy(keys, count, total)
-    return rows.join(F.broadcast(heavy), on).unionByName(rows.join(light.hint("merge"), on))
+    others = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(heavy), on).unionByName(others.join(light.hint("merge"), on))
