@@ -12,10 +12,8 @@ about ``group_tokens`` tokens, each packed on its own: a task holds the lengths
 one group, never ids, and the waste is at most a few open windows per group.
 Window numbers start at group * 2**32.
 
-Tokens are made batch by batch: a batch's distinct white-space pieces are found
-in Arrow, each is encoded once (a bounded cache carries them over), and the ids
-of a text are joined from them.  Texts in which white space does not stand alone
-are encoded whole.
+Texts are encoded whole, one at a time; only lengths and a checksum of each piece
+leave the task that encodes them.
 
 Defined cases: a null or empty text is the terminator alone; repeated rows are
 packed as further documents; equal lengths are packed in the order of the ids'
@@ -24,7 +22,7 @@ hash, so a rerun gives the same windows; an empty table gives no pieces.
 
 from __future__ import annotations
 
-import re
+import base64
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -37,61 +35,24 @@ from pyspark.sql import functions as F
 from .common import stored
 from .tokens import plain
 
-#: Ids of at most so many pieces are kept by a worker.
-CACHE = 400_000
-# Spaces or line ends that touch other white space, or an end of the text, may be encoded with it.
-_ODD = re.compile(r"^\s|\s$|\s\s|[^\S \n]|[\x1c-\x1f\x85]")
+class Encoder:
+    """A byte-level BPE vocabulary; ids of a text as little-endian unsigned 32-bit bytes.
 
+    ``ranks`` is a file of base64 tokens and their ids, the form in which tiktoken
+    reads the vocabulary that the tokenizers library reads as JSON; both give the
+    same ids, which the tests hold against each other.
+    """
 
-class Encoder:
-    """The vocabulary of a tokenizers file; ids of a text as little-endian unsigned 32-bit bytes."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self._t = Tokenizer.from_file(path)
-        self._t.encode_special_tokens = True  # a special token's name in a text is ordinary text
-        self._t.no_padding()
-        self._t.no_truncation()
-        self._cache: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text.
-
-        A lone space starts the piece after it and a lone line end is a piece, so
-        that pieces between them can be encoded one at a time.
-        """
-        split = [None if _ODD.search(t) else t.replace("\n", " \n ").split(" ") for t in texts]
-        # After a line end, and at the start, a piece has no space before it.
-        cache = self._cache
-        new: set[str] = set()
-        for pieces in split:
-            if pieces:
-                new.update(pieces)
-        firsts = {p for pieces in split if pieces for p in self._starts(pieces)}
-        want = [f" {p}" for p in new if p != "\n"] + list(firsts) + ["\n"]
-        want = [p for p in want if p not in cache]
-        if len(cache) + len(want) > CACHE:
-            cache.clear()
-            want = [f" {p}" for p in new if p != "\n"] + list(firsts) + ["\n"]
-        cache.update(zip(want, self._ids(want), strict=True))
-        odd = iter(self._ids([t for t, pieces in zip(texts, split, strict=True) if pieces is None]))
-        for t, pieces in zip(texts, split, strict=True):
-            if pieces is None:
-                yield next(odd)
-            else:
-                yield b"".join([cache[p] for p in self._with_spaces(t)])
-
-    @staticmethod
-    def _starts(pieces: list[str]) -> list[str]:
-        return [pieces[0], *(b for a, b in zip(pieces, pieces[1:], strict=False) if a == "\n")]
-
-    @staticmethod
-    def _with_spaces(text: str) -> list[str]:
-        return re.findall(r" ?[^ \n]+|\n", text)
+    def __init__(self, ranks: str, pattern: str):
+        import tiktoken
+
+        with open(ranks, "rb") as f:
+            table = {base64.b64decode(token): int(i) for token, i in map(bytes.split, f)}
+        # Without special tokens, the name of one in a text is ordinary text.
+        self._t = tiktoken.Encoding(ranks, pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self._t.encode_ordinary(text)).tobytes()
 
 
 class RoomTree:
@@ -143,19 +104,19 @@ def best_fit_decreasing(lengths: Iterable[int], window: int) -> tuple[np.ndarray
     return where, offset
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, text: str, key: str) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: tuple[str, str], window: int, end_id: int, text: str, key: str) -> DataFrame:
     """key, order, start, length, ids_crc32, doc_tokens of each piece; ids themselves are not kept."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(*tokenizer)
         end = array("I", [end_id]).tobytes()
         for b in batches:
             for low in range(0, b.num_rows, 512):
                 part = b.slice(low, 512)
                 rows: list[tuple[int, int, int, int, int]] = []
-                for i, ids in enumerate(encoder.encode(plain(part.column(1)).to_pylist())):
-                    ids += end
+                for i, text_i in enumerate(plain(part.column(1)).to_pylist()):
+                    ids = encoder.encode(text_i) + end
                     n = len(ids) // 4
                     rows += [(i, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
                 cols = np.asarray(rows, np.int64).reshape(-1, 5).T
@@ -168,9 +129,12 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, text: str,
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, group_tokens: int = 4_000_000, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, tokenizer: tuple[str, str], window: int = 1024, end_id: int = 0, group_tokens: int = 4_000_000, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
-    """Pieces of all documents with sequence_id and offset, packed best-fit decreasing."""
+    """Pieces of all documents with sequence_id and offset, packed best-fit decreasing.
+
+    ``tokenizer``: what Encoder takes, a file that every executor has and its pattern.
+    """
     cut = stored(pieces(docs, tokenizer, window, end_id, text, key), "pieces")
     total = cut.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
@@ -192,4 +156,5 @@ def op8_packing(docs: DataFrame) -> DataFrame:
     """The contract's pieces, over the whole table."""
     import public_tokenizers
 
-    return pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack(docs.select("doc_id", "text"), tokenizer)
