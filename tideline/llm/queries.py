@@ -29,6 +29,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import op4_ngram_join as op
+
+    return op(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import op5_line_dedup as op
 
