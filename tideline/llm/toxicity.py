@@ -43,6 +43,7 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 _CORE = re.compile(r"^[^\w@$]+|[^\w@$!]+$|(?<=\w)!+$")
 _DRAWN = re.compile(r"(.)\1{2,}")
 NEAR = 50
+LOT = 500
 FEATURES = (
     "log_words", "hits", "hits_per_word", "weight_per_word", "top_weight", "nearness", "second_near", "second_per_word",
     "capitals", "capital_words", "exclaims", "punctuation", "obfuscated", "drawn_out", "set_apart",
@@ -65,9 +66,16 @@ def terms(word: str) -> list[str]:
     return [w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)] if w else []
 
 
+def in_lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts a few at a time: what a task holds follows the distinct words of a lot."""
+    for b in batches:
+        for low in range(0, b.num_rows, LOT):
+            yield b.slice(low, LOT)
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) -> (term, toxic, n): documents of the batch that hold a word under the term."""
-    for b in batches:
+    for b in in_lots(batches):
         w = words(b.column(0), lower=False)
         toxic = np.asarray(b.column(1)).astype(np.int64)
         n = max(len(w.unique), 1)
@@ -187,7 +195,7 @@ def train(labelled: DataFrame, max_rows: int = 8000) -> Model:
     lexicon = learn_lexicon(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_lots(batches):
             x = measure(b.column(0), lexicon)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c) for c in x.T)], ["toxic", "o", *FEATURES])
 
@@ -211,10 +219,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     names = slim.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, 2000):
-                b = whole.slice(low, 2000)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(b.column(names.index(text))))], [*names, out])
+        for b in in_lots(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(b.column(names.index(text))))], [*names, out])
 
     return slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField(out, T.DoubleType())]))
 
