@@ -185,13 +185,18 @@ class Model:
         return np.clip(self.line(self.trees.raw(measure(col, self.lexicon))), 0.0, 1.0)
 
 
-def train(labelled: DataFrame, max_rows: int = 8000) -> Model:
-    """labelled(id, text, toxic) -> Model, from at most ``max_rows`` rows of each label."""
-    order = F.xxhash64(F.col("id").cast("string"), F.lit("order"))
-    parts = [labelled.where(F.col("toxic") == y).withColumn("o", order).orderBy("o").limit(max_rows) for y in (0, 1)]
+def pick(labels: DataFrame, key: str, max_rows: int = 8000) -> DataFrame:
+    """labels(key, toxic) -> at most ``max_rows`` rows of each label, the first by their id's hash."""
+    order = F.xxhash64(F.col(key).cast("string"), F.lit("order"))
+    known = labels.where(F.col("toxic").isNotNull()).groupBy(key).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).withColumn("o", order)
+    return known.where("toxic = 0").orderBy("o").limit(max_rows).unionByName(known.where("toxic = 1").orderBy("o").limit(max_rows))
+
+
+def train(sample: DataFrame) -> Model:
+    """sample(text, toxic, o) -> Model; the rows are those that ``pick`` chose, so their number is bounded."""
     from .common import stored
 
-    sample = stored(parts[0].unionByName(parts[1]), "toxic-sample")
+    sample = stored(sample.repartition(24, "o"), "toxic-sample")
     lexicon = learn_lexicon(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,11 +238,8 @@ def held_out(key: Column) -> Column:
 def op3_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's columns: a model learned from rows that are not held out, applied to all."""
     docs = docs.select("doc_id", "text")
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    # The order of ids picks the training rows, so only their texts meet in the join.
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("order"))
-    picked = known.where("toxic = 0").orderBy(order).limit(8000).unionByName(known.where("toxic = 1").orderBy(order).limit(8000))
-    labelled = docs.join(F.broadcast(picked), "doc_id").select(F.col("doc_id").alias("id"), "text", "toxic")
-    model = train(labelled)
+    picked = pick(labels.where(~held_out(F.col("doc_id"))), "doc_id")
+    # Ids are chosen first, so only the texts of the training rows leave their place.
+    model = train(docs.join(F.broadcast(picked), "doc_id").select("text", "toxic", "o"))
     out = score(docs, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
