@@ -174,6 +174,6 @@ def score(docs: DataFrame, model: tuple[Vocabulary, np.ndarray, Model, Model], t
 def op2_lm_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All documents scored; the target is the documents that a label marks as of good quality."""
     good = labels.where("quality = 1").select("doc_id").distinct()
-    # Only the text's hash meets the labels twice over; the text itself is dealt once, by id.
-    marked = docs.select("doc_id", "text").join(good.withColumn("target", F.lit(True)), "doc_id", "left")
+    # The texts are dealt by id once; the plan is the same at every size.
+    marked = docs.select("doc_id", "text").join(good.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left")
     return score(docs.select("doc_id", "text"), fit(marked)).drop("text")
