@@ -69,3 +69,12 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()}
     want = {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)} | {i: 298 for i in (298, 299, 300)}
     assert got == want
+
+
+def test_slices_are_read_like_whole_batches():
+    import pyarrow as pa
+
+    col = pa.array([f"Word{i} and More Words é{i} here now" for i in range(50)])
+    whole = ngram_join.class_hashes(*ngram_join.shingle_sets(col, 5), 50)[1]
+    parts = [ngram_join.class_hashes(*ngram_join.shingle_sets(col.slice(i, 7), 5), len(col.slice(i, 7)))[1] for i in range(0, 50, 7)]
+    assert [x for p in parts for x in p.tolist()] == whole.tolist()

@@ -20,10 +20,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def plain(col: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """One large_string array, nulls as empty texts."""
+    """One large_string array, nulls as empty texts.
+
+    Its values are copied: Arrow's ascii_lower misreads a slice whose offsets do not start at 0.
+    """
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    return pc.fill_null(col.cast(pa.large_string()), "")
+    return pc.fill_null(col.cast(pa.large_string()), "").take(pa.array(np.arange(len(col))))
 
 
 @dataclass
