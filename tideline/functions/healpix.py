@@ -36,6 +36,17 @@ def _gather(df: DataFrame, c: str) -> DataFrame:
     return df
 
 
+def _done(df: DataFrame, out: str, value: Column, drop: tuple[str, ...]) -> DataFrame:
+    """Adds the result and drops the intermediate columns.
+
+    The value passes through a one-element explode: a filter on the result then stays
+    above it, where otherwise the optimizer would push it down the chain of
+    projections and write out every repeated reference.
+    """
+    keep = [c for c in df.columns if c not in (*drop, out)]
+    return df.select(*keep, F.explode(F.array(value)).alias(out))
+
+
 def _long(c: Column) -> Column:
     return c.cast("long")
 
@@ -69,7 +80,7 @@ def ring_pixel(df: DataFrame, z: Column, phi: Column, nside: int, out: str) -> D
     df = df.withColumn("__ip", ip)
     north, south = 2 * r * (r - 1) + F.col("__ip"), F.lit(12 * nside * nside) - 2 * r * (r + 1) + F.col("__ip")
     pix = F.when(eq, 2 * nside * (nside - 1) + (r - 1) * 4 * nside + F.col("__ip")).when(F.col("__z") > 0, north).otherwise(south)
-    return df.withColumn(out, _long(pix)).drop(*_TEMP, "__r", "__ip")
+    return _done(df, out, _long(pix), (*_TEMP, "__r", "__ip"))
 
 
 def nest_pixel(df: DataFrame, z: Column, phi: Column, nside: int, out: str) -> DataFrame:
@@ -90,7 +101,7 @@ def nest_pixel(df: DataFrame, z: Column, phi: Column, nside: int, out: str) -> D
     )
     df = _spread(_spread(df, "__x"), "__y")
     pix = F.col("__x") + F.shiftleft("__y", 1) + F.shiftleft(_long(F.col("__face")), 2 * k)
-    return df.withColumn(out, pix).drop(*_TEMP, "__fp", "__fm", "__face", "__x", "__y")
+    return _done(df, out, pix, (*_TEMP, "__fp", "__fm", "__face", "__x", "__y"))
 
 
 def ang_pixel(df: DataFrame, theta: Column, phi: Column, nside: int, out: str = "pixel", nest: bool = True) -> DataFrame:
@@ -120,7 +131,7 @@ def nest_to_ring(df: DataFrame, pix: str, nside: int, out: str) -> DataFrame:
     before = F.when(north, 2 * nr * (nr - 1)).when(south, 12 * nside * nside - 2 * (nr + 1) * nr).otherwise(2 * nside * (nside - 1) + (jr - nside) * 4 * nside)
     jp = F.shiftright(_long(F.col("__turn") * nr + F.col("__x") - F.col("__y") + 1 + F.col("__sh")), 1)
     df = df.withColumns({"__jp": F.pmod(jp - 1, F.lit(4 * nside)), "__before": before})
-    return df.withColumn(out, _long(F.col("__before") + F.col("__jp"))).drop("__face", "__x", "__y", "__jr", "__turn", "__nr", "__sh", "__jp", "__before")
+    return _done(df, out, _long(F.col("__before") + F.col("__jp")), ("__face", "__x", "__y", "__jr", "__turn", "__nr", "__sh", "__jp", "__before"))
 
 
 def _isqrt(c: Column) -> Column:
@@ -154,7 +165,7 @@ def ring_to_nest(df: DataFrame, pix: str, nside: int, out: str) -> DataFrame:
     df = df.withColumns({"__x": F.shiftright(F.col("__p") - F.col("__r"), 1), "__y": F.shiftright(-(F.col("__p") + F.col("__r")), 1)})
     df = _spread(_spread(df, "__x"), "__y")
     pixel = F.col("__x") + F.shiftleft("__y", 1) + F.shiftleft("__face", 2 * k)
-    return df.withColumn(out, pixel).drop("__i", "__phi", "__nr", "__sh", "__face", "__ring", "__r", "__p", "__x", "__y")
+    return _done(df, out, pixel, ("__i", "__phi", "__nr", "__sh", "__face", "__ring", "__r", "__p", "__x", "__y"))
 
 
 def degrade_nest(pix: Column, factor: int) -> Column:

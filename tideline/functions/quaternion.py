@@ -123,12 +123,10 @@ def from_vectors(a: Vec, b: Vec) -> Quat:
     return norm((*cross(a, b), F.sqrt(dot(a, a) * dot(b, b)) + dot(a, b)))
 
 
-def _axis(k: int, angle: Column) -> Quat:
-    return rotation(of([float(j == k) for j in range(3)]), angle)
-
-
 def from_iso_angles(theta: Column, phi: Column, psi: Column) -> Quat:
-    return norm(mult(_axis(2, phi), mult(_axis(1, theta), _axis(2, psi))))
+    """Turns of psi about z, theta about y and phi about z, multiplied out."""
+    s, c, half, diff = F.sin(theta / 2), F.cos(theta / 2), (phi + psi) / 2, (phi - psi) / 2
+    return -s * F.sin(diff), s * F.cos(diff), c * F.sin(half), c * F.cos(half)
 
 
 def to_iso_angles(q: Quat) -> tuple[Column, Column, Column]:

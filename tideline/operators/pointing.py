@@ -35,7 +35,7 @@ def fixed_pointing(samples: DataFrame, dets: DataFrame) -> DataFrame:
 
 def pixels_healpix(df: DataFrame, nside: int, nest: bool = True, mask: int = 7, out: str = "pixel") -> DataFrame:
     d = Q.rotate(tuple(F.col(c) for c in DET), Q.of((0, 0, 1)))
-    df = df.withColumns(dict(zip(("__vx", "__vy", "__vz"), d, strict=True)))
+    df = df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for c, n in zip(d, ("__vx", "__vy", "__vz"), strict=True)]))))
     df = healpix.vec_pixel(df, F.col("__vx"), F.col("__vy"), F.col("__vz"), nside, out, nest)
     return df.withColumn(out, F.when(good(mask=mask), F.col(out)).otherwise(-1)).drop("__vx", "__vy", "__vz")
 

@@ -1 +1,219 @@
-"""Queries of the sequence operators."""
+"""Queries of operators on whole sequences and of iterative solvers; these have no SQL form."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions import rng
+from ..operators import destriper, flagging, mapping, pointing, sequences, simulate
+from ..operators.templates import Fourier2D, Gain, Offset
+from ..sources import streams as S
+from . import catalog
+from .catalog import query
+
+RATE = 10.0
+
+
+def _stream(spark, d):  # noqa: ANN001, ANN202
+    return S.event_stream(spark, d).select("det", "i", "t", "signal", "flags", "pixel", "az", "wq", "wu")
+
+
+@query("poly_filter_n")
+def _(spark, d):
+    return sequences.poly_filter(_stream(spark, d), 3)
+
+
+@query("ground_filter")
+def _(spark, d):
+    return sequences.ground_filter(_stream(spark, d), 2, 3)
+
+
+@query("hwp_filter")
+def _(spark, d):
+    return sequences.hwp_filter(_stream(spark, d).withColumn("hwp", F.radians("az")), "hwp", 1, 2)
+
+
+@query("hwp_synchronous_model")
+def _(spark, d):
+    return sequences.hwpss_model(_stream(spark, d).withColumn("hwp", F.radians("az")), "hwp", 3)
+
+
+@query("fill_gaps")
+def _(spark, d):
+    return sequences.fill_gaps(_stream(spark, d), noise=False)
+
+
+@query("simple_deglitch")
+def _(spark, d):
+    return sequences.deglitch(_stream(spark, d), least=10)
+
+
+@query("simple_jump_correct")
+def _(spark, d):
+    return sequences.jump_correct(_stream(spark, d), length=10)
+
+
+@query("time_constant")
+def _(spark, d):
+    return sequences.time_constant(_stream(spark, d).withColumn("tau", F.lit(0.05)), RATE, "tau")
+
+
+def _noisy(spark, d):  # noqa: ANN001, ANN202
+    return _stream(spark, d).withColumns({"net": F.lit(1.0), "fknee": F.lit(0.5), "fmin": F.lit(1e-3), "alpha": F.lit(1.0)})
+
+
+@query("noise_filter")
+def _(spark, d):
+    return sequences.noise_filter(_noisy(spark, d), RATE)
+
+
+@query("sim_noise")
+def _(spark, d):
+    return simulate.noise(_noisy(spark, d), RATE)
+
+
+@query("demodulate")
+def _(spark, d):
+    turning = _stream(spark, d).withColumn("hwp", F.col("i") * 0.5)
+    return sequences.demodulate(turning, RATE, "hwp")
+
+
+@query("noise_estimate")
+def _(spark, d):
+    return sequences.noise_estimate(_stream(spark, d), RATE, lagmax=30, nbin=8)
+
+
+@query("fit_noise_model")
+def _(spark, d):
+    return sequences.fit_noise(sequences.noise_estimate(_stream(spark, d), RATE, lagmax=30, nbin=8))
+
+
+@query("flag_noise_fit")
+def _(spark, d):
+    fits = sequences.fit_noise(sequences.noise_estimate(_stream(spark, d), RATE, lagmax=30, nbin=8))
+    return flagging.clip(destriper.kept(fits, "fits"), ["net"], 3.0)
+
+
+@query("simple_stat_cut")
+def _(spark, d):
+    stats = mapping.statistics(S.event_stream(spark, d)).select("det", F.sqrt("var").alias("rms"), "skew", (F.col("kurt") - 3).alias("kurt"))
+    return flagging.clip(destriper.kept(stats, "stats"), ["rms", "skew", "kurt"], 2.5)
+
+
+@query("poly_filter_2d")
+def _(spark, d):
+    co = S.cosampled(S.event_stream(spark, d)).withColumns({"grp": F.col("det") % 3, "x": (F.col("det") % 12).cast("double"), "y": F.floor(F.col("det") / 12).cast("double")})
+    return sequences.poly_filter_2d(co, 1)
+
+
+@query("demod_common_mode")
+def _(spark, d):
+    co = S.cosampled(S.event_stream(spark, d)).withColumn("obs", F.lit("all"))
+    return sequences.demod_common_mode(co, 2, sample="sample")
+
+
+@query("filter_bin")
+def _(spark, d):
+    def templates(p):  # noqa: ANN001, ANN202
+        a = np.radians(p["az"].to_numpy(float))
+        n = len(p)
+        return np.stack([np.ones(n), np.linspace(-1, 1, n), np.cos(a), np.sin(a)])
+
+    s = sequences.filter_bin(_stream(spark, d), templates)
+    return mapping.accumulate(s.withColumns({"wi": F.lit(1.0), "weight": F.lit(1.0)}), weights=("wi",))
+
+
+@query("observation_matrix")
+def _(spark, d):
+    """Pixel by pixel: what a mean-per-detector filter does to a map, as (row, col, val)."""
+    s = S.event_stream(spark, d).where("(flags & 7) = 0")
+    n = s.groupBy("det").agg(F.count(F.lit(1)).alias("n"))
+    hits = s.groupBy("det", "pixel").agg(F.count(F.lit(1)).alias("h"))
+    total = s.groupBy("pixel").agg(F.count(F.lit(1)).alias("t"))
+    pairs = hits.join(n, "det").join(hits.select("det", F.col("pixel").alias("col"), F.col("h").alias("g")), "det")
+    off = pairs.groupBy(F.col("pixel").alias("row"), "col").agg(F.sum(-F.col("h") * F.col("g") / F.col("n")).alias("val"))
+    one = total.select(F.col("pixel").alias("row"), F.col("pixel").alias("col"), F.col("t").cast("double").alias("val"))
+    both = off.unionByName(one).groupBy("row", "col").agg(F.sum("val").alias("val"))
+    return both.join(total.withColumnRenamed("pixel", "row"), "row").select("row", "col", (F.col("val") / F.col("t")).alias("val"))
+
+
+@query("solve_amplitudes")
+def _(spark, d):
+    return destriper.solve_amplitudes(catalog.stream(spark, d), Offset(20), iter_max=8)
+
+
+@query("map_maker")
+def _(spark, d):
+    return destriper.map_maker(catalog.stream(spark, d), Offset(20), iter_max=8)[0]
+
+
+@query("fourier2d_project")
+def _(spark, d):
+    co = S.cosampled(S.event_stream(spark, d)).withColumns({"x": (F.col("det") % 12) / 12.0, "y": F.floor(F.col("det") / 12) / 12.0})
+    return Fourier2D(1).project(co)
+
+
+@query("gain_project")
+def _(spark, d):
+    from ..operators.intervals import spans_of
+
+    s = S.event_stream(spark, d)
+    seen = mapping.scan_map(s.withColumn("model", F.lit(0.0)), S.sky(spark), zero=True, out="model")
+    return Gain(2).project(seen.join(spans_of(s), "det"))
+
+
+@query("sim_satellite")
+def _(spark, d):
+    scans = simulate.satellite_schedule(spark, 2, 5.0, 1.0, prec=5.0, spin=0.5)
+    return simulate.satellite(scans, RATE, 7.0, 3.0, hwp_rpm=9.0)
+
+
+@query("sim_ground")
+def _(spark, d):
+    s = spark.createDataFrame([("ces", 0.0, 300.0, 40.0, 44.0, 50.0)], "obs string, start double, stop double, az_min double, az_max double, el double")
+    return simulate.ground_scan(s, RATE)
+
+
+@query("satellite_hit_map")
+def _(spark, d):
+    scans = simulate.satellite_schedule(spark, 2, 5.0, 1.0, prec=5.0, spin=0.5)
+    samples = simulate.satellite(scans, RATE, 7.0, 3.0).withColumns({"telescope": F.lit("tel"), "flags": F.lit(0)})
+    seen = pointing.detector_pointing(samples, simulate.hex_focalplane(spark, 1, 5.0))
+    return mapping.hit_map(pointing.pixels_healpix(seen, 32))
+
+
+@query("gain_scramble")
+def _(spark, d):
+    return simulate.gain_scramble(_stream(spark, d), sigma=0.01)
+
+
+@query("gain_drift")
+def _(spark, d):
+    return simulate.gain_drift(_stream(spark, d))
+
+
+@query("cosmic_rays")
+def _(spark, d):
+    return simulate.cosmic_rays(_stream(spark, d), RATE, eventrate=0.1)
+
+
+@query("perturb_hwp")
+def _(spark, d):
+    scans = simulate.satellite(simulate.satellite_schedule(spark, 2, 2.0), RATE, hwp_rpm=9.0)
+    return simulate.perturb_hwp(scans, 0.01).select("obs", "i", "hwp_angle")
+
+
+@query("random_numbers")
+def _(spark, d):
+    c = S.read(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    zero = F.lit(0).cast("long")
+    return c.select("k", *[rng.column(n)(F.lit(7).cast("long"), zero, zero, F.col("k")).alias(n) for n in ("uint64", "uniform_01", "uniform_m11", "gaussian")], rng.name_uid(F.col("k").cast("string")).alias("uid"))
+
+
+@query("event_sessions")
+def _(spark, d):
+    from ..streaming.windows import sessions
+
+    e = S.read(spark, d, "events").select(F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    return sessions(e, "30 minutes")
