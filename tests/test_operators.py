@@ -34,7 +34,8 @@ def test_poly_and_ground_and_hwp_filters_remove_what_they_model(spark):
     assert np.abs(out[flags == 0]).max() < 1e-6
     out = signal(sequences.hwp_filter(frame(spark, np.cos(2 * hwp) + x + spike, flags, hwp=hwp), "hwp", 2, 3, detrend=True))
     assert np.abs(out[flags == 0]).max() < 1e-8
-    model = sequences.hwpss_model(frame(spark, 5 + 0.3 * np.cos(2 * hwp), hwp=hwp), "hwp", 3)
+    whole = 2 * np.pi * 25 * np.arange(n) / n  # whole turns, over which harmonics have no mean
+    model = sequences.hwpss_model(frame(spark, 5 + 0.3 * np.cos(2 * whole), hwp=whole), "hwp", 3)
     assert np.abs(signal(model)).max() < 1e-8 and abs(model.first().relcal - 0.3) < 1e-8
 
 
