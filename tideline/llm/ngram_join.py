@@ -15,8 +15,8 @@ whose candidate pairs are intersected before any set is compared.
    number of prefix entries.
 4. A shingle with more classes (a large group of near copies) gives no pairs at
    first: its classes are compared with one of them, the one that holds most of
-   such shingles, twice over.  Then only classes outside the main component are
-   compared with those of other components.  Pairs inside one component are never
+   such shingles.  Then only classes outside the main component are compared with
+   those of other components.  Pairs inside one component are never
    needed, so a group of near copies costs a multiple of its size.
 5. Candidates are verified on their whole sets.  Sets travel once to each block
    of their candidate component, at most 2 * BLOCK sets a block.
@@ -27,7 +27,8 @@ collected but the fixed bit arrays and counts.
 Defined cases: null texts, empty texts and texts without words have an empty set
 and are linked with nothing; under five words the whole sequence is one shingle;
 repeated rows are copies of each other; a null id is ignored when the smallest
-id is sought.  Two shingles, or two sets, are taken as equal if 64 bits agree.
+id is sought.  Two shingles are taken as equal if 53 bits of hash agree, two sets
+if 64 do.
 """
 
 from __future__ import annotations
@@ -45,19 +46,20 @@ from .tokens import mixed, windows, words
 
 #: Classes under one shingle up to which all pairs are made.
 LONG = 64
-#: Documents of one shingle from which it is put last; counts are summed from the batches in which it repeats.
+#: Documents of one shingle from which it is put last; counts are summed from the tasks in which it repeats.
 SHARED = 32
+HELD = 20_000_000
 #: Bits of the arrays that travel to every task.
 BITS = 1 << 23
 #: Classes of a block in verification.
 BLOCK = 512
-#: Texts handled at a time.
-LOT = 2000
+#: Texts handled at a time, and bits of a shingle's hash: together they fill 64 bits.
+LOT, TOKEN_BITS = 2000, 53
 _SALT = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
 def shingle_sets(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, shingle) of a batch, distinct, in order."""
+    """(text, shingle) of a batch of at most LOT texts, distinct, in order."""
     w = words(col, lower=True)
     h = w.hashes()
     x, at = windows(h, w.start, k)
@@ -70,11 +72,13 @@ def shingle_sets(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
             has = n[short] > i
             whole[has] = mixed(whole[has] * np.uint64(0x8EBC6AF09C88C6E3) + h[w.start[short[has]] + i])
         x, owner = np.concatenate([x, whole]), np.concatenate([owner, short])
-    order = np.lexsort((x, owner))
-    x, owner = x[order], owner[order]
-    first = np.ones(len(x), bool)
-    first[1:] = (x[1:] != x[:-1]) | (owner[1:] != owner[:-1])
-    return owner[first], x[first]
+    # One sort of text number and hash in one word; LOT texts fit the upper bits.
+    both = (owner.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (x >> np.uint64(64 - TOKEN_BITS))
+    both.sort()
+    first = np.ones(len(both), bool)
+    first[1:] = both[1:] != both[:-1]
+    both = both[first]
+    return (both >> np.uint64(TOKEN_BITS)).astype(np.int64), both & np.uint64((1 << TOKEN_BITS) - 1)
 
 
 def class_hashes(owner: np.ndarray, x: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,18 +127,35 @@ def _in_lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def summaries(docs: DataFrame, k: int, text: str, key: str) -> DataFrame:
-    """Rows of two kinds: a document's (id, n, cls), and (token, n) of shingles that repeat within a lot."""
+    """Rows of two kinds: a document's (id, n, cls), and (token, n) of shingles that repeat within a task.
+
+    A task holds the hashes of its shingles, eight bytes each, until ``HELD`` are counted.
+    """
     kind = dict(docs.dtypes)[key]
+    names = ["id", "n", "cls", "token"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        id_type = None
+
+        def counted() -> pa.RecordBatch:
+            all_of_them = np.sort(np.concatenate(held))
+            held.clear()
+            start = np.flatnonzero(np.r_[True, all_of_them[1:] != all_of_them[:-1]])
+            count = np.diff(np.r_[start, len(all_of_them)])
+            token, count = all_of_them[start][count > 1], count[count > 1]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(token), id_type), pa.array(count.astype(np.int64)), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64))], names)
+
         for b in _in_lots(batches):
+            id_type = b.column(0).type
             owner, x = shingle_sets(b.column(1), k)
             n, cls = class_hashes(owner, x, b.num_rows)
-            names = ["id", "n", "cls", "token"]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(cls.view(np.int64), mask=n == 0), pa.nulls(b.num_rows, pa.int64())], names)
-            token, count = np.unique(x[first_of_each(cls, n)[owner]], return_counts=True)
-            token, count = token[count > 1], count[count > 1]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(token), b.column(0).type), pa.array(count.astype(np.int64)), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64))], names)
+            held.append(x[first_of_each(cls, n)[owner]])
+            if sum(map(len, held)) > HELD:
+                yield counted()
+        if held:
+            yield counted()
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"id {kind}, n long, cls long, token long")
 
@@ -155,7 +176,8 @@ def prefixes(docs: DataFrame, shared: np.ndarray, k: int, text: str) -> DataFram
             parts = []
             for i, salt in enumerate(_SALT):
                 t = mixed(x + salt)
-                order = np.lexsort((t, last, owner))
+                low = np.uint64(TOKEN_BITS - 1)
+                order = np.argsort((owner.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (last.astype(np.uint64) << low) | (t >> np.uint64(65 - TOKEN_BITS)))
                 rank = np.arange(len(x)) - start[owner]
                 inside = rank < size[owner]  # order keeps texts together, so ranks are theirs
                 at = order[inside]
@@ -296,33 +318,25 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _long_runs(docs: DataFrame, entries: DataFrame, links: DataFrame, k: int, text: str) -> DataFrame:
-    """Links among the classes of long runs: entries(t, cls, n), links found so far -> all links."""
-    weight = entries.groupBy("cls").agg(F.count(F.lit(1)).alias("w"))
-    total = entries.count()
-    entries = stored(join_skewed(entries, weight, ["cls"], "w", total), "long-runs")
-    fits = (5 * F.col("n") >= 4 * F.col("m")) & (5 * F.col("m") >= 4 * F.col("n")) & (F.col("cls") != F.col("lead"))
-    for last in (False, False, True):
-        roots = components(links)
-        placed = entries.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        placed = stored(placed, "long-placed")
-        by_root = placed.groupBy("t", "root").agg(F.count(F.lit(1)).alias("c"))
-        main = by_root.groupBy("t").agg(F.max(F.struct("c", "root")).alias("x"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        main = main.select("t", F.col("x.root").alias("main"), "size")
-        active = join_skewed(placed, main, ["t"], "size", total)
-        if last:
-            outside = active.where("root <> main").select("t", F.col("cls").alias("lead"), F.col("n").alias("m"), F.col("root").alias("of"))
-            pairs = active.join(outside.hint("merge"), "t").where(fits & (F.col("root") != F.col("of")))
-        else:
-            # The class with most shingles in long runs, of those outside the main component once there is one.
-            lead = active.where((F.col("root") != F.col("main")) | (F.col("root") == F.col("cls"))).groupBy("t").agg(
-                F.max(F.struct("w", "n", "cls", "root")).alias("x"), F.first("size").alias("size")
-            )
-            lead = lead.select("t", F.col("x.cls").alias("lead"), F.col("x.n").alias("m"), F.col("x.root").alias("of"), "size")
-            pairs = join_skewed(placed, lead, ["t"], "size", total).where(fits & (F.col("root") != F.col("of")))
-        found = verify(docs, pairs.select(*_ordered("cls", "lead")).distinct(), k, text)
-        links = stored(links.unionByName(found), "links")
-    return links
+_FITS = "5 * n >= 4 * m and 5 * m >= 4 * n and cls <> lead"
+
+
+def _stars(entries: DataFrame, total: int) -> DataFrame:
+    """Pairs of each class of a long run with the run's class that is in most long runs: entries(t, cls, n, w)."""
+    lead = entries.groupBy("t").agg(F.max(F.struct("w", "n", "cls")).alias("x"), F.count(F.lit(1)).alias("size"))
+    lead = lead.select("t", F.col("x.cls").alias("lead"), F.col("x.n").alias("m"), "size")
+    return join_skewed(entries, lead, ["t"], "size", total).where(_FITS).select(*_ordered("cls", "lead")).distinct()
+
+
+def _outsiders(entries: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """Pairs of classes of long runs that no links join yet: those outside a run's main component with all others."""
+    roots = components(links).withColumnRenamed("node", "cls")
+    placed = stored(entries.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "long-placed")
+    by_root = placed.groupBy("t", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = by_root.groupBy("t").agg(F.max(F.struct("c", "root")).alias("x"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    active = stored(join_skewed(placed, main.select("t", F.col("x.root").alias("main"), "size"), ["t"], "size", total), "long-active")
+    outside = active.where("root <> main").select("t", F.col("cls").alias("lead"), F.col("n").alias("m"), F.col("root").alias("of"))
+    return active.join(outside.hint("merge"), "t").where(_FITS).where("root <> of").select(*_ordered("cls", "lead")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -342,10 +356,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, text: str = "text", key: str =
     one = meets.where("orders = 1")
     one = one.join(long2, one["a"] == long2["x"], "left_semi")
     one = one.join(long2, one["b"] == long2["x"], "left_semi")
-    links = verify(docs, meets.where("orders = 3").select("a", "b").unionByName(one.select("a", "b")), k, text)
-    long1 = met.where("kind = 3").select(F.col("a").alias("t"), F.col("b").alias("cls"), "n")
-    if not long1.isEmpty():
-        links = _long_runs(docs, stored(long1.distinct(), "long-entries"), links, k, text)
+    pairs = meets.where("orders = 3").select("a", "b").unionByName(one.select("a", "b"))
+    entries = met.where("kind = 3").select(F.col("a").alias("t"), F.col("b").alias("cls"), "n").distinct()
+    weight = entries.groupBy("cls").agg(F.count(F.lit(1)).alias("w"))
+    entries = stored(entries, "long-entries")
+    total = entries.count()
+    if total:
+        entries = stored(join_skewed(entries, weight, ["cls"], "w", total), "long-runs")
+        pairs = pairs.unionByName(_stars(entries, total)).distinct()
+    links = verify(docs, pairs, k, text)
+    if total:
+        rest = _outsiders(entries, links, total)
+        links = stored(links.unionByName(verify(docs, rest, k, text)), "links")
 
     rows = seen.where("token is null").select("id", "n", "cls")
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
