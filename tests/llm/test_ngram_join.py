@@ -51,13 +51,11 @@ def corpus(seed, groups=8, size=6, words=60):
 
 @pytest.mark.parametrize("seed,long,shared", [(1, 64, 32), (2, 2, 3), (3, 3, 1)])
 def test_matches_brute_force(spark, monkeypatch, seed, long, shared):
-    monkeypatch.setattr(ngram_join, "LONG", long)
-    monkeypatch.setattr(ngram_join, "SHARED", shared)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     texts = corpus(seed, groups=6 if seed > 1 else 12)
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, cls int").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.op4_ngram_join(docs).collect()}
-    assert got == brute(texts)
+    out, _ = ngram_join.near_duplicates(docs, long=long, shared=shared)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute(texts)
 
 
 def test_empty_table(spark):

@@ -188,8 +188,8 @@ def prefixes(docs: DataFrame, shared: np.ndarray, k: int, text: str) -> DataFram
     return docs.select(F.col(text)).mapInArrow(run, "t long, cls long, n long")
 
 
-def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (t, n, cls) -> (kind, a, b, n).
+def _pairs_of_runs(batches: Iterator[pa.RecordBatch], long: int = LONG) -> Iterator[pa.RecordBatch]:
+    """Sorted (t, n, cls) -> (kind, a, b, n); runs of over ``long`` classes are long.
 
     kind 1, 2: a pair of classes that meet under order 1 or 2; 3: an entry (t, class)
     of a long run of order 1; 4: a class in a long run of order 2.
@@ -212,11 +212,11 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             return
         start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         size = np.diff(np.r_[start, len(t)])
-        many = np.repeat(size > LONG, size)
+        many = np.repeat(size > long, size)
         if many.any():
             yield from long_rows(t[many], n[many], c[many])
         found: dict[int, list[np.ndarray]] = {0: [], 1: []}
-        for s in range(2, LONG + 1):
+        for s in range(2, long + 1):
             at = start[size == s]
             if not len(at):
                 continue
@@ -259,7 +259,7 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         cut = int(np.flatnonzero(t == t[-1])[0])  # the last run may go on
         yield from done(t[:cut], n[:cut], c[:cut])
         t, n, c = t[cut:], n[cut:], c[cut:]
-        if len(t) > 100 * LONG:
+        if len(t) > 100 * long:
             open_long = t[0]
             yield from long_rows(t, n, c)
             t, n, c = none, none, none
@@ -339,17 +339,17 @@ def _outsiders(entries: DataFrame, links: DataFrame, total: int) -> DataFrame:
     return active.join(outside.hint("merge"), "t").where(_FITS).where("root <> of").select(*_ordered("cls", "lead")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, k: int = 5, text: str = "text", key: str = "doc_id", long: int = LONG, shared: int = SHARED) -> tuple[DataFrame, DataFrame]:
     """(documents with n_shingles, cls and component_id; links a, b between classes).
 
     component_id is the smallest id that links reach; the links of classes in one
     long run are those that join them, all others are complete.
     """
     seen = stored(summaries(docs, k, text, key), "summaries")
-    shared = seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED)
-    entries = prefixes(docs, bit_array(shared, "token"), k, text)
+    often = seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= shared)
+    entries = prefixes(docs, bit_array(often, "token"), k, text)
     runs = entries.repartition("t").sortWithinPartitions("t", "n", "cls").select("t", "n", "cls")
-    met = stored(runs.mapInArrow(_pairs_of_runs, "kind int, a long, b long, n long"), "met")
+    met = stored(runs.mapInArrow(lambda batches: _pairs_of_runs(batches, long), "kind int, a long, b long, n long"), "met")
     meets = met.where("kind <= 2").groupBy("a", "b").agg(F.bit_or("kind").alias("orders")).where(F.col("orders").bitwiseAND(F.lit(1)) == 1)
     # A pair that meets under order 2 in a long run is not listed there, but both its classes are.
     long2 = met.where("kind = 4").select(F.col("a").alias("x")).distinct()
