@@ -17,7 +17,8 @@ whose candidate pairs are intersected before any set is compared.
    first: its classes are compared with one of them, the one that holds most of
    such shingles.  Then only classes outside the main component are compared with
    those of other components.  Pairs inside one component are never
-   needed, so a group of near copies costs a multiple of its size.
+   needed.  Classes unlike the leader still cost the square of their number, an
+   open weakness that the README gives figures for.
 5. Candidates are verified on their whole sets.  Sets travel once to each block
    of their candidate component, at most 2 * BLOCK sets a block.
 
