@@ -6,9 +6,10 @@ documents marked as such.  A document's score is the mean over its words of the
 loss under the target less that under the background: low values read like the
 target.
 
-All counts are over all documents: each Arrow batch sums its own words and
-bigrams, and Spark sums those by key, so what is gathered follows the corpus and
-a word that is everywhere is one row per batch.  From the exact counts the
+All counts are over all documents: each task sums its own words and bigrams, in
+lots of bounded bytes and lists of bounded length, and Spark sums those by key, so
+what is gathered follows the corpus and a word that is everywhere is a few rows a
+task.  From the exact counts the
 vocabulary keeps words that make at least ``word_share`` of all words (and
 occur ``least`` times) and the bigram list those of at least ``pair_share``, the
 rest counting as unknown words or falling back to single words.  A share bounds
@@ -34,22 +35,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import words
+from .tokens import lots, words
 
 MU = 0.7
+#: Keys that a task sums before it gives them out.
+HELD = 1_000_000
 
 
-def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, how often each occurs, and the sum of its weights."""
-    distinct, where, n = np.unique(keys, return_inverse=True, return_counts=True)
-    return distinct, n, np.bincount(where, weights, len(distinct)).astype(np.int64)
+def _summed(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, weights) -> distinct keys, how often each occurs, the sum of its weights; at most about ``HELD`` keys are held."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, n, t = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys)
+        keys = keys[order]
+        at = np.flatnonzero(np.r_[len(keys) > 0, keys[1:] != keys[:-1]])
+        return keys[at], np.add.reduceat(n[order], at) if len(at) else n, np.add.reduceat(t[order], at) if len(at) else t
+
+    for keys, weights in batches:
+        held.append(merged([(keys, np.ones(len(keys), np.int64), weights.astype(np.int64))]))
+        if sum(len(x[0]) for x in held) > HELD:
+            held = [merged(held)]
+            if len(held[0][0]) > HELD // 2:
+                yield held.pop()
+    if held:
+        yield merged(held)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        w = words(b.column(0), lower=True)
-        own = w.hashes()
-        h, n, _ = _summed(own, np.ones(len(own)))
+    hashes = (words(b.column(0), lower=True).hashes() for b in lots(batches))
+    for h, n, _ in _summed((h, np.zeros(len(h))) for h in hashes):
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["k", "n"])
 
 
@@ -88,17 +104,18 @@ class Vocabulary:
 
 @dataclass
 class Model:
-    """Counts of one corpus over the shared vocabulary and bigram list."""
+    """Counts of one corpus over the shared vocabulary and bigram list; ``kept``: the share of each word's followers that are listed."""
 
     single: np.ndarray
     context: np.ndarray
     pair: np.ndarray
+    kept: np.ndarray
 
     def loss(self, listed: np.ndarray, size: int, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Minus log probability, in nats, of each word after the one before it."""
         alone = (self.single[ids] + 1.0) / (self.single.sum() + size)
         c = np.maximum(self.context[before], 1)
-        kept = np.bincount(listed // size, self.pair, size)[before] / c
+        kept = self.kept[before]
         both = np.zeros(len(ids))
         if len(listed):
             key = before * size + ids
@@ -107,10 +124,13 @@ class Model:
         return -np.log(MU * both + (1 - MU * kept) * alone)
 
 
-def fit(docs: DataFrame, word_share: float = 1e-6, pair_share: float = 1e-6, least: int = 2, text: str = "text", target: str = "target") -> tuple[Vocabulary, np.ndarray, Model, Model]:
-    """docs(text, target boolean) -> vocabulary, listed bigrams, target and background models."""
+def fit(docs: DataFrame, word_share: float = 1e-6, pair_share: float = 1e-6, least: int = 2, text: str = "text", target: str = "target", plain: DataFrame | None = None) -> tuple[Vocabulary, np.ndarray, Model, Model]:
+    """docs(text, target boolean) -> vocabulary, listed bigrams, target and background models.
+
+    ``plain`` may give the same texts unmarked: words are counted there, without the marks' join.
+    """
     spark = docs.sparkSession
-    counted = docs.select(text).mapInArrow(_word_counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    counted = (docs if plain is None else plain).select(text).mapInArrow(_word_counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     from .common import stored
 
     counted = stored(counted, "word-counts")
@@ -122,10 +142,13 @@ def fit(docs: DataFrame, word_share: float = 1e-6, pair_share: float = 1e-6, lea
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        for b in batches:
-            before, ids, owner = v.pairs(b.column(0))
-            mark = np.asarray(b.column(1).cast(pa.int8())).astype(float)
-            k, n, t = _summed(before * v.size + ids, mark[owner] if len(owner) else np.zeros(0))
+
+        def keyed() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for b in lots(batches):
+                before, ids, owner = v.pairs(b.column(0))
+                yield before * v.size + ids, np.asarray(b.column(1).cast(pa.int8()))[owner]
+
+        for k, n, t in _summed(keyed()):
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(t)], ["k", "n", "t"])
 
     rows = docs.select(F.col(text), F.coalesce(F.col(target), F.lit(False)).alias("t")).mapInArrow(run, "k long, n long, t long")
@@ -143,8 +166,12 @@ def fit(docs: DataFrame, word_share: float = 1e-6, pair_share: float = 1e-6, lea
     listed = pairs.where(F.col("n") >= max(least, pair_share * total)).orderBy("k").toArrow()  # at most 1 / pair_share rows
     keys = np.asarray(listed["k"]).astype(np.int64)
     order = np.argsort(keys)
-    models = [Model(single[c], context[c], np.asarray(listed[c]).astype(float)[order]) for c in "tn"]
-    return vocab, keys[order], models[0], models[1]
+    keys = keys[order]
+    models = []
+    for c in "tn":
+        pair = np.asarray(listed[c]).astype(float)[order]
+        models.append(Model(single[c], context[c], pair, np.bincount(keys // vocab.size, pair, vocab.size) / np.maximum(context[c], 1)))
+    return vocab, keys, models[0], models[1]
 
 
 def score(docs: DataFrame, model: tuple[Vocabulary, np.ndarray, Model, Model], text: str = "text") -> DataFrame:
@@ -158,14 +185,12 @@ def score(docs: DataFrame, model: tuple[Vocabulary, np.ndarray, Model, Model], t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, listed, target, background = shared.value
-        for whole in batches:
-            for low in range(0, whole.num_rows, 2000):
-                b = whole.slice(low, 2000)
-                before, ids, owner = vocab.pairs(b.column(names.index(text)))
-                n = np.bincount(owner, minlength=b.num_rows)
-                losses = [np.bincount(owner, m.loss(listed, vocab.size, before, ids), b.num_rows) / np.maximum(n, 1) for m in (target, background)]
-                cols = [pa.array(x, mask=n == 0) for x in (*losses, losses[0] - losses[1])]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n.astype(np.int64)), *cols], [*names, *new])
+        for b in lots(batches, names.index(text)):
+            before, ids, owner = vocab.pairs(b.column(names.index(text)))
+            n = np.bincount(owner, minlength=b.num_rows)
+            losses = [np.bincount(owner, m.loss(listed, vocab.size, before, ids), b.num_rows) / np.maximum(n, 1) for m in (target, background)]
+            cols = [pa.array(x, mask=n == 0) for x in (*losses, losses[0] - losses[1])]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n.astype(np.int64)), *cols], [*names, *new])
 
     kinds = (T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType())
     return slim.mapInArrow(run, T.StructType([*slim.schema.fields, *(T.StructField(c, k) for c, k in zip(new, kinds, strict=True))]))
@@ -176,4 +201,5 @@ def op2_lm_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.where("quality = 1").select("doc_id").distinct()
     # The texts are dealt by id once; the plan is the same at every size.
     marked = docs.select("doc_id", "text").join(good.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left")
-    return score(docs.select("doc_id", "text"), fit(marked)).drop("text")
+    docs = docs.select("doc_id", "text")
+    return score(docs, fit(marked, plain=docs)).drop("text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,18 @@ def plain(col: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(col.cast(pa.large_string()), "").take(pa.array(np.arange(len(col))))
 
 
+def lots(batches: Iterator[pa.RecordBatch], at: int = 0, rows: int = 2000, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows, and ``size`` bytes in column ``at`` unless one text alone has more."""
+    for b in batches:
+        ends = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(at)), 0)).astype(np.int64))])
+        low = 0
+        while low < b.num_rows:
+            high = int(np.searchsorted(ends, ends[low] + size, side="right")) - 1
+            high = min(max(high, low + 1), low + rows, b.num_rows)
+            yield b.slice(low, high - low)
+            low = high
+
+
 @dataclass
 class Words:
     """The words of a batch: ``code`` indexes ``unique``, ``start[i]:start[i + 1]`` are text i's."""
