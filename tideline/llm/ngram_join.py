@@ -3,22 +3,26 @@
 Two sets of shingles with Jaccard of 0.8 or more share a shingle among the first
 n - ceil(0.8 n) + 1 of each, whatever global order the shingles are put in.  A
 pair must therefore meet under every order; here under two independent ones,
-whose candidate pairs are intersected before any set is compared.
+whose candidate pairs are intersected before any set is compared.  Where two sets
+meet first, at places p and q, they share at most min(n - p, m - q) shingles, so a
+pair also needs 9 * min(n - p, m - q) >= 4 * (n + m) at some place where it meets.
 
 1. One pass makes each text's set, its size and a 64-bit class hash of the set.
    Equal sets are one class from here on, so exact copies cost nothing further.
-2. Both orders put shingles that many documents share last.  What is shared is
-   told by a bit array of fixed size, filled from counts over all documents; any
-   such array gives a valid global order, so its errors cost time, not links.
+2. Both orders put shingles that many documents share last, in four bands.  The
+   bands are told by bit arrays of fixed size, filled from counts over all
+   documents; any such arrays give a valid global order, so their errors cost
+   time, not links.
 3. Prefixes are dealt by shingle and sorted.  A shingle with up to ``LONG``
    classes gives all pairs of classes of fitting size, which is linear in the
-   number of prefix entries.
+   number of prefix entries.  The second order's prefixes are made only of classes
+   that form pairs under the first.
 4. A shingle with more classes (a large group of near copies) gives no pairs at
    first: its classes are compared with one of them, the one that holds most of
    such shingles.  Then only classes outside the main component are compared with
    those of other components.  Pairs inside one component are never
-   needed.  Classes unlike the leader still cost the square of their number, an
-   open weakness that the README gives figures for.
+   needed.  Classes unlike the leader whose shingles of their own are few still
+   cost the square of their number.
 5. Candidates are verified on their whole sets.  Sets travel once to each block
    of their candidate component, at most 2 * BLOCK sets a block.
 
@@ -47,8 +51,9 @@ from .tokens import mixed, windows, words
 
 #: Classes under one shingle up to which all pairs are made.
 LONG = 64
-#: Documents of one shingle from which it is put last; counts are summed from the tasks in which it repeats.
+#: Documents of one shingle from which it is put last, 16 and 256 times as many for the further bands; counts are summed from the tasks in which it repeats.
 SHARED = 32
+BANDS = (1, 16, 256)
 HELD = 20_000_000
 #: Bits of the arrays that travel to every task.
 BITS = 1 << 23
@@ -161,53 +166,58 @@ def summaries(docs: DataFrame, k: int, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"id {kind}, n long, cls long, token long")
 
 
-def prefixes(docs: DataFrame, shared: np.ndarray, k: int, text: str) -> DataFrame:
-    """(t, cls, n) of the prefix of each class under both orders; the lowest bit of t tells the order."""
-    bits = docs.sparkSession.sparkContext.broadcast(shared)
+def prefixes(docs: DataFrame, shared: list[np.ndarray], k: int, text: str, order: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """(t, cls, n, p): the prefix of each class under an order, p being a shingle's place; the lowest bit of t tells the order.
+
+    ``wanted``: only classes with a bit there.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast((shared, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, only = bits.value
         for b in _in_lots(batches):
             owner, x = shingle_sets(b.column(0), k)
             n, cls = class_hashes(owner, x, b.num_rows)
-            keep = first_of_each(cls, n)[owner]
+            keep = first_of_each(cls, n)
+            if only is not None:
+                keep &= has_bit(only, cls)
+            keep = keep[owner]
             owner, x = owner[keep], x[keep]
-            last = has_bit(bits.value, x)
+            band = np.sum([has_bit(v, x) for v in bands], axis=0).astype(np.uint64)
             start = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b.num_rows))])
             size = n - (4 * n + 4) // 5 + 1
-            parts = []
-            for i, salt in enumerate(_SALT):
-                t = mixed(x + salt)
-                low = np.uint64(TOKEN_BITS - 1)
-                order = np.argsort((owner.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (last.astype(np.uint64) << low) | (t >> np.uint64(65 - TOKEN_BITS)))
-                rank = np.arange(len(x)) - start[owner]
-                inside = rank < size[owner]  # order keeps texts together, so ranks are theirs
-                at = order[inside]
-                parts.append((t[at] & ~np.uint64(1) | np.uint64(i), cls[owner[at]], n[owner[at]]))
-            t, c, m = (np.concatenate(v) for v in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c.view(np.int64)), pa.array(m.astype(np.int64))], ["t", "cls", "n"])
+            t = mixed(x + _SALT[order])
+            low = np.uint64(TOKEN_BITS - 2)
+            at = np.argsort((owner.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (band << low) | (t >> (np.uint64(64) - low)))
+            rank = np.arange(len(x)) - start[owner]
+            inside = rank < size[owner]  # the sort keeps texts together, so ranks are theirs
+            at, rank, own = at[inside], rank[inside], owner[inside]
+            t = t[at] & ~np.uint64(1) | np.uint64(order)
+            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(cls[own].view(np.int64)), pa.array(n[own].astype(np.int64)), pa.array(rank.astype(np.int64))], ["t", "cls", "n", "p"])
 
-    return docs.select(F.col(text)).mapInArrow(run, "t long, cls long, n long")
+    return docs.select(F.col(text)).mapInArrow(run, "t long, cls long, n long, p long")
 
 
 def _pairs_of_runs(batches: Iterator[pa.RecordBatch], long: int = LONG) -> Iterator[pa.RecordBatch]:
-    """Sorted (t, n, cls) -> (kind, a, b, n); runs of over ``long`` classes are long.
+    """Sorted (t, n, cls, p) -> (kind, a, b, n, p); runs of over ``long`` classes are long.
 
     kind 1, 2: a pair of classes that meet under order 1 or 2; 3: an entry (t, class)
     of a long run of order 1; 4: a class in a long run of order 2.
     """
 
-    def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n)], ["kind", "a", "b", "n"])
+    def rows(kind: int, a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+        n, p = more or (np.zeros(len(a), np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n), pa.array(p)], ["kind", "a", "b", "n", "p"])
 
-    def long_rows(t: np.ndarray, n: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def long_rows(t: np.ndarray, n: np.ndarray, c: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
         one = (t & 1) == 0
         if one.any():
-            yield rows(3, t[one], c[one], n[one])
+            yield rows(3, t[one], c[one], n[one], p[one])
         if not one.all():
             two = np.unique(c[~one])
-            yield rows(4, two, two, np.zeros(len(two), np.int64))
+            yield rows(4, two, two)
 
-    def done(t: np.ndarray, n: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def done(t: np.ndarray, n: np.ndarray, c: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Whole runs."""
         if not len(t):
             return
@@ -215,7 +225,7 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch], long: int = LONG) -> Itera
         size = np.diff(np.r_[start, len(t)])
         many = np.repeat(size > long, size)
         if many.any():
-            yield from long_rows(t[many], n[many], c[many])
+            yield from long_rows(t[many], n[many], c[many], p[many])
         found: dict[int, list[np.ndarray]] = {0: [], 1: []}
         for s in range(2, long + 1):
             at = start[size == s]
@@ -226,6 +236,7 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch], long: int = LONG) -> Itera
                 part = at[low : low + 1 + 2_000_000 // len(i)]
                 a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
                 fits = 5 * n[a] >= 4 * n[b]  # n rises within a run
+                fits &= 9 * np.minimum(n[a] - p[a], n[b] - p[b]) >= 4 * (n[a] + n[b])
                 a, b = a[fits], b[fits]
                 for k in (0, 1):
                     own = (t[a] & 1) == k
@@ -238,33 +249,33 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch], long: int = LONG) -> Itera
                 new = np.ones(len(a), bool)
                 new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
                 if new.any():
-                    yield rows(k + 1, a[new], b[new], np.zeros(int(new.sum()), np.int64))
+                    yield rows(k + 1, a[new], b[new])
 
     none = np.zeros(0, np.int64)
-    t = n = c = none
+    t = n = c = p = none
     open_long = None  # the t of a run that was already given out as long
     for batch in batches:
-        t, n, c = (np.concatenate([old, np.asarray(col)]) for old, col in zip((t, n, c), (batch.column(0), batch.column(1), batch.column(2)), strict=True))
+        t, n, c, p = (np.concatenate([old, np.asarray(col)]) for old, col in zip((t, n, c, p), batch.columns, strict=True))
         if not len(t):
             continue
         new = np.ones(len(t), bool)  # copies of a class from several lots
         new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-        t, n, c = t[new], n[new], c[new]
+        t, n, c, p = t[new], n[new], c[new], p[new]
         if open_long is not None:
             same = t == open_long
-            yield from long_rows(t[same], n[same], c[same]) if same.any() else ()
+            yield from long_rows(t[same], n[same], c[same], p[same]) if same.any() else ()
             if same.all():
-                t, n, c = none, none, none
+                t = n = c = p = none
                 continue
-            t, n, c, open_long = t[~same], n[~same], c[~same], None
+            t, n, c, p, open_long = t[~same], n[~same], c[~same], p[~same], None
         cut = int(np.flatnonzero(t == t[-1])[0])  # the last run may go on
-        yield from done(t[:cut], n[:cut], c[:cut])
-        t, n, c = t[cut:], n[cut:], c[cut:]
+        yield from done(t[:cut], n[:cut], c[:cut], p[:cut])
+        t, n, c, p = t[cut:], n[cut:], c[cut:], p[cut:]
         if len(t) > 100 * long:
             open_long = t[0]
-            yield from long_rows(t, n, c)
-            t, n, c = none, none, none
-    yield from done(t, n, c)
+            yield from long_rows(t, n, c, p)
+            t = n = c = p = none
+    yield from done(t, n, c, p)
 
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int, text: str) -> DataFrame:
@@ -319,13 +330,13 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-_FITS = "5 * n >= 4 * m and 5 * m >= 4 * n and cls <> lead"
+_FITS = "5 * n >= 4 * m and 5 * m >= 4 * n and 9 * least(n - p, m - q) >= 4 * (n + m) and cls <> lead"
 
 
 def _stars(entries: DataFrame, total: int) -> DataFrame:
-    """Pairs of each class of a long run with the run's class that is in most long runs: entries(t, cls, n, w)."""
-    lead = entries.groupBy("t").agg(F.max(F.struct("w", "n", "cls")).alias("x"), F.count(F.lit(1)).alias("size"))
-    lead = lead.select("t", F.col("x.cls").alias("lead"), F.col("x.n").alias("m"), "size")
+    """Pairs of each class of a long run with the run's class that is in most long runs: entries(t, cls, n, p, w)."""
+    lead = entries.groupBy("t").agg(F.max(F.struct("w", "n", "cls", "p")).alias("x"), F.count(F.lit(1)).alias("size"))
+    lead = lead.select("t", F.col("x.cls").alias("lead"), F.col("x.n").alias("m"), F.col("x.p").alias("q"), "size")
     return join_skewed(entries, lead, ["t"], "size", total).where(_FITS).select(*_ordered("cls", "lead")).distinct()
 
 
@@ -336,7 +347,7 @@ def _outsiders(entries: DataFrame, links: DataFrame, total: int) -> DataFrame:
     by_root = placed.groupBy("t", "root").agg(F.count(F.lit(1)).alias("c"))
     main = by_root.groupBy("t").agg(F.max(F.struct("c", "root")).alias("x"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     active = stored(join_skewed(placed, main.select("t", F.col("x.root").alias("main"), "size"), ["t"], "size", total), "long-active")
-    outside = active.where("root <> main").select("t", F.col("cls").alias("lead"), F.col("n").alias("m"), F.col("root").alias("of"))
+    outside = active.where("root <> main").select("t", F.col("cls").alias("lead"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("of"))
     return active.join(outside.hint("merge"), "t").where(_FITS).where("root <> of").select(*_ordered("cls", "lead")).distinct()
 
 
@@ -347,10 +358,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, text: str = "text", key: str =
     long run are those that join them, all others are complete.
     """
     seen = stored(summaries(docs, k, text, key), "summaries")
-    often = seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= shared)
-    entries = prefixes(docs, bit_array(often, "token"), k, text)
-    runs = entries.repartition("t").sortWithinPartitions("t", "n", "cls").select("t", "n", "cls")
-    met = stored(runs.mapInArrow(lambda batches: _pairs_of_runs(batches, long), "kind int, a long, b long, n long"), "met")
+    often = stored(seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= shared), "often")
+    bands = [bit_array(often.where(F.col("n") >= shared * x), "token") for x in BANDS]
+
+    def meetings(order: int, wanted: np.ndarray | None) -> DataFrame:
+        runs = prefixes(docs, bands, k, text, order, wanted).repartition("t").sortWithinPartitions("t", "n", "cls").select("t", "n", "cls", "p")
+        return stored(runs.mapInArrow(lambda batches: _pairs_of_runs(batches, long), "kind int, a long, b long, n long, p long"), "met")
+
+    met = meetings(0, None)
+    paired = met.where("kind = 1").select(F.explode(F.array("a", "b")).alias("cls"))
+    met = met.unionByName(meetings(1, bit_array(paired, "cls")))
     meets = met.where("kind <= 2").groupBy("a", "b").agg(F.bit_or("kind").alias("orders")).where(F.col("orders").bitwiseAND(F.lit(1)) == 1)
     # A pair that meets under order 2 in a long run is not listed there, but both its classes are.
     long2 = met.where("kind = 4").select(F.col("a").alias("x")).distinct()
@@ -358,7 +375,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, text: str = "text", key: str =
     one = one.join(long2, one["a"] == long2["x"], "left_semi")
     one = one.join(long2, one["b"] == long2["x"], "left_semi")
     pairs = meets.where("orders = 3").select("a", "b").unionByName(one.select("a", "b"))
-    entries = met.where("kind = 3").select(F.col("a").alias("t"), F.col("b").alias("cls"), "n").distinct()
+    entries = met.where("kind = 3").select(F.col("a").alias("t"), F.col("b").alias("cls"), "n", "p").distinct()
     weight = entries.groupBy("cls").agg(F.count(F.lit(1)).alias("w"))
     entries = stored(entries, "long-entries")
     total = entries.count()
