@@ -19,9 +19,9 @@ pair also needs 9 * min(n - p, m - q) >= 4 * (n + m) at some place where it meet
    that form pairs under the first.
 4. A shingle with more classes (a large group of near copies) gives no pairs at
    first: its classes are compared with one of them, the one that holds most of
-   such shingles.  Then only classes outside the main component are compared with
-   those of other components.  Pairs inside one component are never
-   needed.  Classes unlike the leader whose shingles of their own are few still
+   such shingles, before any pair of step 3.  Then only classes outside the main
+   component are compared with those of other components.  Pairs inside one
+   component, of step 3 too, are never needed.  Classes unlike the leader whose shingles of their own are few still
    cost the square of their number.
 5. Candidates are verified on their whole sets.  Sets travel once to each block
    of their candidate component, at most 2 * BLOCK sets a block.
@@ -340,10 +340,16 @@ def _stars(entries: DataFrame, total: int) -> DataFrame:
     return join_skewed(entries, lead, ["t"], "size", total).where(_FITS).select(*_ordered("cls", "lead")).distinct()
 
 
-def _outsiders(entries: DataFrame, links: DataFrame, total: int) -> DataFrame:
+def _unjoined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose classes are not in one component already; a class has at most LONG pairs for each shingle of its prefix."""
+    of_a, of_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    known = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    return known.where("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
+
+
+def _outsiders(entries: DataFrame, roots: DataFrame, total: int) -> DataFrame:
     """Pairs of classes of long runs that no links join yet: those outside a run's main component with all others."""
-    roots = components(links).withColumnRenamed("node", "cls")
-    placed = stored(entries.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "long-placed")
+    placed = stored(entries.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "long-placed")
     by_root = placed.groupBy("t", "root").agg(F.count(F.lit(1)).alias("c"))
     main = by_root.groupBy("t").agg(F.max(F.struct("c", "root")).alias("x"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     active = stored(join_skewed(placed, main.select("t", F.col("x.root").alias("main"), "size"), ["t"], "size", total), "long-active")
@@ -354,8 +360,8 @@ def _outsiders(entries: DataFrame, links: DataFrame, total: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, text: str = "text", key: str = "doc_id", long: int = LONG, shared: int = SHARED) -> tuple[DataFrame, DataFrame]:
     """(documents with n_shingles, cls and component_id; links a, b between classes).
 
-    component_id is the smallest id that links reach; the links of classes in one
-    long run are those that join them, all others are complete.
+    component_id is the smallest id that links reach; of classes that the links of
+    long runs join, only those links are listed, all others are complete.
     """
     seen = stored(summaries(docs, k, text, key), "summaries")
     often = stored(seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= shared), "often")
@@ -381,11 +387,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, text: str = "text", key: str =
     total = entries.count()
     if total:
         entries = stored(join_skewed(entries, weight, ["cls"], "w", total), "long-runs")
-        pairs = pairs.unionByName(_stars(entries, total)).distinct()
-    links = verify(docs, pairs, k, text)
-    if total:
-        rest = _outsiders(entries, links, total)
+        links = verify(docs, _stars(entries, total), k, text)
+        roots = stored(components(links), "star-roots")
+        rest = _unjoined(pairs, roots).unionByName(_outsiders(entries, roots, total)).distinct()
         links = stored(links.unionByName(verify(docs, rest, k, text)), "links")
+    else:
+        links = verify(docs, pairs, k, text)
 
     rows = seen.where("token is null").select("id", "n", "cls")
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
