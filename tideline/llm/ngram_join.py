@@ -389,7 +389,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, text: str = "text", key: str =
         entries = stored(join_skewed(entries, weight, ["cls"], "w", total), "long-runs")
         links = verify(docs, _stars(entries, total), k, text)
         roots = stored(components(links), "star-roots")
-        rest = _unjoined(pairs, roots).unionByName(_outsiders(entries, roots, total)).distinct()
+        links = stored(links.unionByName(verify(docs, _unjoined(pairs, roots), k, text)), "links")
+        rest = _outsiders(entries, stored(components(links), "roots"), total)
         links = stored(links.unionByName(verify(docs, rest, k, text)), "links")
     else:
         links = verify(docs, pairs, k, text)
