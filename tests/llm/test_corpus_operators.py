@@ -90,6 +90,26 @@ def test_lm_score_against_plain_counts(spark):
     assert lm_score.op2_lm_score(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_lm_score_counts_rare_keys_at_any_size(spark, monkeypatch):
+    # Over two million words, where a floor of a millionth is above the two occurrences of "p q".
+    texts = ["x " * 2_200_000, "p q", "p q", "q p", "once p", "twice p"]
+    docs = spark.createDataFrame([(i, t, i in (1, 3)) for i, t in enumerate(texts)], "doc_id long, text string, target boolean")
+    n, size = 2_200_010, 3 + 2
+    single, context = {"p": 5, "q": 3, "?": 2}, {"p": 2, "q": 1, "?": 2, "s": 6}
+    kept = {"s": 4 / 6, "p": 1.0, "q": 0.0, "?": 1.0}
+    listed = {("s", "p"): 2, ("s", "?"): 2, ("p", "q"): 2, ("?", "p"): 2}
+
+    def loss(*ids):
+        return -np.mean([np.log(lm_score.MU * listed.get((v, w), 0) / context[v] + (1 - lm_score.MU * kept[v]) * (single[w] + 1) / (n + size)) for v, w in zip(("s", *ids), ids)])
+
+    want = {1: loss("p", "q"), 2: loss("p", "q"), 3: loss("q", "p"), 4: loss("?", "p"), 5: loss("?", "p")}
+    for cache in (lm_score.CACHE, 10):  # constants held by the tasks, and joined
+        monkeypatch.setattr(lm_score, "CACHE", cache)
+        got = {r.doc_id: r for r in lm_score.score(docs, lm_score.fit(docs)).collect()}
+        assert {k: got[k].loss_background for k in want} == pytest.approx(want)
+        assert got[0].n_words == 2_200_000
+
+
 def test_isotonic_line_is_the_best_rising_fit():
     raw = np.array([0.0, 1, 1, 2, 3, 4, 5])
     line = boosting.fit_isotonic(raw, np.array([0.0, 1, 0, 0, 1, 1, 1]))

@@ -6,20 +6,25 @@ documents marked as such.  A document's score is the mean over its words of the
 loss under the target less that under the background: low values read like the
 target.
 
-All counts are over all documents: each task sums its own words and bigrams, in
-lots of bounded bytes and lists of bounded length, and Spark sums those by key, so
-what is gathered follows the corpus and a word that is everywhere is a few rows a
-task.  From the exact counts the
-vocabulary keeps words that make at least ``word_share`` of all words (and
-occur ``least`` times) and the bigram list those of at least ``pair_share``, the
-rest counting as unknown words or falling back to single words.  A share bounds
-the list by its inverse, whatever the corpus, which is what lets it travel to
-every task for scoring; scoring then needs no shuffle.
+The vocabulary has every word that occurs ``least`` times in the corpus, the
+bigram list every pair that does, at any size of the corpus; a word that occurs
+once counts as the unknown word.  All counts are over all documents: each task sums
+its own words and bigrams, in lots of bounded bytes and lists of bounded length,
+and Spark sums those by key.
 
 P(w | v) = MU * c(v, w) / c(v) + (1 - MU * kept(v)) * P(w), kept(v) being the share
 of v's followers that are listed, so each row sums to one.  P(w) adds one to
 every count of the vocabulary.  The document's start is a word of its own.
 
+The loss of a pair is a constant of w, plus one of v, plus, where the pair is
+listed, one of the pair.  Tasks hold the constants of those words and pairs that
+make at least 1 / CACHE of all words, so at most CACHE of each; for all others a
+document's key is joined with the table of constants, and sums return by document.
+A key that many documents hold is thus never dealt.
+
+No task holds the vocabulary.  A word that occurs once has one document, so the
+unknown words travel as a list beside the document that has them.
+
 Defined cases: null and empty texts have no words, losses and score null, n_words
 0; with no target documents the target model is uniform; repeated rows count and
 score again; labels that are null or missing do not mark a target.
@@ -28,33 +33,41 @@ score again; labels that are null or missing do not mark a target.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import lots, words
+from .common import join_skewed, stored
+from .tokens import _A, lots, mixed, words
 
 MU = 0.7
 #: Keys that a task sums before it gives them out.
 HELD = 1_000_000
+#: Words, and pairs, that make less than 1 / CACHE of all words are scored by a join.
+CACHE = 2_000_000
+#: Stand for a word that occurs once, the start, and, as a second word: any before, any after, the end.
+UNKNOWN, START, FOLLOWS, PRECEDES, LAST = (int(x) for x in mixed(np.arange(101, 106, dtype=np.uint64)).view(np.int64))
+ROWS = "ref long, v long, w long, n long, lt double, ln double"
 
 
-def _summed(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(keys, weights) -> distinct keys, how often each occurs, the sum of its weights; at most about ``HELD`` keys are held."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _summed(batches: Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    """(keys, weights, companions) -> distinct keys, sums of their weights, a companion of each; at most about ``HELD`` keys are held."""
+    held: list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]] = []
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, n, t = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def merged(parts: list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        keys = np.concatenate([p[0] for p in parts])
         order = np.argsort(keys)
         keys = keys[order]
         at = np.flatnonzero(np.r_[len(keys) > 0, keys[1:] != keys[:-1]])
-        return keys[at], np.add.reduceat(n[order], at) if len(at) else n, np.add.reduceat(t[order], at) if len(at) else t
+        sums = [np.concatenate(x)[order] for x in zip(*(p[1] for p in parts), strict=True)]
+        own = [np.concatenate(x)[order[at]] for x in zip(*(p[2] for p in parts), strict=True)]
+        return keys[at], [np.add.reduceat(x, at) if len(at) else x for x in sums], own
 
-    for keys, weights in batches:
-        held.append(merged([(keys, np.ones(len(keys), np.int64), weights.astype(np.int64))]))
+    for part in batches:
+        held.append(merged([part]))
         if sum(len(x[0]) for x in held) > HELD:
             held = [merged(held)]
             if len(held[0][0]) > HELD // 2:
@@ -63,143 +76,204 @@ def _summed(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[
         yield merged(held)
 
 
+def _paired(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(mixed(v.view(np.uint64) * _A) + w.view(np.uint64))
+
+
+def _ends(start: np.ndarray) -> np.ndarray:
+    """Places of the last words."""
+    return start[1:][np.diff(start) > 0] - 1
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = (words(b.column(0), lower=True).hashes() for b in lots(batches))
-    for h, n, _ in _summed((h, np.zeros(len(h))) for h in hashes):
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["k", "n"])
-
-
-@dataclass
-class Vocabulary:
-    """Sorted hashes of the words; a word's id is its place, then come unknown words and the start."""
-
-    hashes: np.ndarray
-
-    @property
-    def unknown(self) -> int:
-        return len(self.hashes)
-
-    @property
-    def start(self) -> int:
-        return len(self.hashes) + 1
-
-    @property
-    def size(self) -> int:
-        return len(self.hashes) + 2
-
-    def pairs(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word of a batch: the id before it, its own id, and its text."""
-        w = words(col, lower=True)
-        h = w.hashes()
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            ids = np.where(self.hashes[at] == h, at, self.unknown)
-        else:
-            ids = np.full(len(h), self.unknown)
-        before = np.empty(len(ids), np.int64)
-        before[1:] = ids[:-1]
-        before[w.start[:-1][np.diff(w.start) > 0]] = self.start
-        return before, ids.astype(np.int64), w.owner()
-
-
-@dataclass
-class Model:
-    """Counts of one corpus over the shared vocabulary and bigram list; ``kept``: the share of each word's followers that are listed."""
-
-    single: np.ndarray
-    context: np.ndarray
-    pair: np.ndarray
-    kept: np.ndarray
-
-    def loss(self, listed: np.ndarray, size: int, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Minus log probability, in nats, of each word after the one before it."""
-        alone = (self.single[ids] + 1.0) / (self.single.sum() + size)
-        c = np.maximum(self.context[before], 1)
-        kept = self.kept[before]
-        both = np.zeros(len(ids))
-        if len(listed):
-            key = before * size + ids
-            at = np.minimum(np.searchsorted(listed, key), len(listed) - 1)
-            both = np.where(listed[at] == key, self.pair[at], 0) / c
-        return -np.log(MU * both + (1 - MU * kept) * alone)
-
-
-def fit(docs: DataFrame, word_share: float = 1e-6, pair_share: float = 1e-6, least: int = 2, text: str = "text", target: str = "target", plain: DataFrame | None = None) -> tuple[Vocabulary, np.ndarray, Model, Model]:
-    """docs(text, target boolean) -> vocabulary, listed bigrams, target and background models.
-
-    ``plain`` may give the same texts unmarked: words are counted there, without the marks' join.
-    """
-    spark = docs.sparkSession
-    counted = (docs if plain is None else plain).select(text).mapInArrow(_word_counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    from .common import stored
-
-    counted = stored(counted, "word-counts")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    floor = max(least, word_share * total)
-    kept = counted.where(F.col("n") >= floor).toArrow()  # at most 1 / word_share rows
-    vocab = Vocabulary(np.sort(np.asarray(kept["k"]).astype(np.int64).view(np.uint64)))
-    shared = spark.sparkContext.broadcast(vocab)
+    """(text, j) -> word, occurrences, those at an end, the j of one text that has it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-
-        def keyed() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for b in lots(batches):
-                before, ids, owner = v.pairs(b.column(0))
-                yield before * v.size + ids, np.asarray(b.column(1).cast(pa.int8()))[owner]
-
-        for k, n, t in _summed(keyed()):
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(t)], ["k", "n", "t"])
-
-    rows = docs.select(F.col(text), F.coalesce(F.col(target), F.lit(False)).alias("t")).mapInArrow(run, "k long, n long, t long")
-    pairs = stored(rows.groupBy("k").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "pair-counts")
-    size = F.lit(vocab.size)
-
-    def margin(col) -> dict[str, np.ndarray]:  # noqa: ANN001
-        got = pairs.groupBy(col.cast("long").alias("i")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
-        out = {c: np.zeros(vocab.size) for c in "nt"}
-        for c in "nt":
-            out[c][np.asarray(got["i"]).astype(np.int64)] = np.asarray(got[c])
-        return out
-
-    single, context = margin(F.col("k") % size), margin(F.floor(F.col("k") / size))
-    listed = pairs.where(F.col("n") >= max(least, pair_share * total)).orderBy("k").toArrow()  # at most 1 / pair_share rows
-    keys = np.asarray(listed["k"]).astype(np.int64)
-    order = np.argsort(keys)
-    keys = keys[order]
-    models = []
-    for c in "tn":
-        pair = np.asarray(listed[c]).astype(float)[order]
-        models.append(Model(single[c], context[c], pair, np.bincount(keys // vocab.size, pair, vocab.size) / np.maximum(context[c], 1)))
-    return vocab, keys, models[0], models[1]
+    def counted() -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+        for b in lots(batches):
+            w = words(b.column(0), lower=True)
+            h = w.hashes().view(np.int64)
+            end = np.zeros(len(h), np.int64)
+            end[_ends(w.start)] = 1
+            yield h, [np.ones(len(h), np.int64), end], [np.asarray(b.column(1))[w.owner()]]
 
+    for k, sums, own in _summed(counted()):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, *sums, *own)], ["k", "n", "e", "j"])
 
-def score(docs: DataFrame, model: tuple[Vocabulary, np.ndarray, Model, Model], text: str = "text") -> DataFrame:
-    """Adds n_words, loss_target, loss_background and score (target less background), per word."""
-    from pyspark.sql import types as T
 
+def _pairs(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, list of words that occur once, ...) -> of each word the one before it, itself, its text; and the bounds of the texts."""
+    w = words(b.column(0), lower=True)
+    ids = w.hashes().view(np.int64).copy()
+    ids[np.isin(ids, np.asarray(b.column(1).flatten()).astype(np.int64))] = UNKNOWN
+    before = np.empty(len(ids), np.int64)
+    before[1:] = ids[:-1]
+    before[w.start[:-1][np.diff(w.start) > 0]] = START
+    return before, ids, w.owner(), w.start
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, once, target) -> pairs with their occurrences, all and in targets; for targets also single words and last ones."""
+
+    def counted() -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+        for b in lots(batches):
+            v, w, owner, start = _pairs(b)
+            t = np.asarray(b.column(2).cast(pa.int8())).astype(np.int64)[owner]
+            own, ends = w[t > 0], w[_ends(start)][t[_ends(start)] > 0]
+            v = np.concatenate([v, own, ends])
+            w = np.concatenate([w, np.full(len(own), FOLLOWS), np.full(len(ends), LAST)])
+            yield _paired(v, w), [np.ones(len(v), np.int64), np.concatenate([t, np.ones(len(v) - len(t), np.int64)])], [v, w]
+
+    for _, sums, own in _summed(counted()):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, *sums)], ["v", "w", "n", "t"])
+
+
+class Model(NamedTuple):
+    """once: words that occur once by document; rest: constants of the rarer keys; words, pairs: constants of the others, sorted."""
+
+    once: DataFrame
+    rest: DataFrame
+    words: tuple[np.ndarray, np.ndarray]
+    pairs: tuple[np.ndarray, np.ndarray]
+
+
+def _place(docs: DataFrame, key: str, text: str) -> Column:
+    """What a document's list of unknown words is found by; documents that share it only share the list."""
+    own = F.xxhash64(key) if key in docs.columns else F.xxhash64(text)
+    return F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(own) if key in docs.columns else own
+
+
+def _with_once(docs: DataFrame, once: DataFrame, key: str, text: str) -> DataFrame:
+    docs = docs if "__j" in docs.columns else docs.withColumn("__j", _place(docs, key, text))
+    return docs.join(once.hint("merge"), "__j", "left").withColumn("once", F.coalesce("once", F.array().cast("array<bigint>")))
+
+
+def _arrays(keys: np.ndarray, rows: pa.Table, names: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    return keys[order], np.array([np.asarray(rows[c]).astype(float)[order] for c in names])
+
+
+def fit(docs: DataFrame, least: int = 2, text: str = "text", target: str = "target", plain: DataFrame | None = None, key: str = "doc_id") -> Model:
+    """docs(text, target boolean) -> the model; ``plain`` may give the same rows unmarked, so that words are counted without the marks' join."""
+    if least not in (1, 2):
+        raise ValueError("a word is unknown if it occurs once (least = 2) or never (least = 1)")
+    source = docs if plain is None else plain
+    place = F.col("__j") if "__j" in source.columns else _place(source, key, text)
+    counted = source.select(text, place.alias("j")).mapInArrow(_word_counts, "k long, n long, e long, j long")
+    counted = stored(counted.groupBy("k").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.max("j").alias("j")), "word-counts")
+    got = counted.agg(F.sum("n"), F.sum("e"), F.count_if(F.col("n") >= least)).first()
+    total, starts, size = got[0] or 0, got[1] or 0, got[2] + 2
+    once = stored(counted.where(F.col("n") < least).groupBy(F.col("j").alias("__j")).agg(F.collect_list("k").alias("once")), "unknown-words")
+
+    marked = _with_once(docs, once, key, text).select(F.col(text), "once", F.coalesce(F.col(target), F.lit(False)).alias("t"))
+    rows = marked.mapInArrow(_pair_counts, "v long, w long, n long, t long").groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    special = F.col("w").isin(FOLLOWS, LAST)
+    kept = stored(rows.where((F.col("n") >= least) | special), "pair-counts")
+    listed = kept.where(~special)
+    marks = kept.where(special).agg(F.sum(F.when(F.col("w") == FOLLOWS, F.col("t"))), F.sum(F.when(F.col("w") == LAST, F.col("t")))).first()
+    t_total, t_starts = marks[0] or 0, marks[1] or 0
+
+    # One row a word: occurrences n, t; at an end en, et; followers that are listed kn, kt.
+    zero = F.lit(0).cast("long")
+    known = F.when(F.col("n") < least, F.lit(UNKNOWN)).otherwise(F.col("k")).alias("k")
+    follows = F.col("w") == FOLLOWS
+    facts = counted.select(known, "n", zero.alias("t"), F.col("e").alias("en"), zero.alias("et"), zero.alias("kn"), zero.alias("kt"))
+    facts = facts.unionByName(kept.where(special).select(F.col("v").alias("k"), zero.alias("n"), F.when(follows, F.col("t")).otherwise(0).alias("t"), zero.alias("en"), F.when(follows, 0).otherwise(F.col("t")).alias("et"), zero.alias("kn"), zero.alias("kt")))
+    facts = facts.unionByName(listed.select(F.col("v").alias("k"), zero.alias("n"), zero.alias("t"), zero.alias("en"), zero.alias("et"), F.col("n").alias("kn"), F.col("t").alias("kt")))
+    facts = facts.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("n", "t", "en", "et", "kn", "kt")))
+    begins = F.col("k") == START
+    facts = facts.select(
+        "k", F.when(begins, F.lit(starts)).otherwise(F.col("n")).alias("n"), F.col("t"), "kn", "kt",
+        F.greatest(F.when(begins, F.lit(starts)).otherwise(F.col("n") - F.col("en")), F.lit(1)).alias("cn"),
+        F.greatest(F.when(begins, F.lit(t_starts)).otherwise(F.col("t") - F.col("et")), F.lit(1)).alias("ct"),
+        F.when(begins, zero).otherwise(F.col("n")).alias("sn"),
+    )
+    # p: probability of the word alone; u: what single words get after it; c: how often it stands before another.
+    own = stored(facts.select(
+        "k", "n", "cn", "ct",
+        ((F.col("sn") + 1.0) / (total + size)).alias("pn"), ((F.col("t") + 1.0) / (t_total + size)).alias("pt"),
+        (1 - MU * F.col("kn") / F.col("cn")).alias("un"), (1 - MU * F.col("kt") / F.col("ct")).alias("ut"),
+    ), "words")
+    # A first pair of a document whose start is not in any listed pair still needs the start's constants.
+    if not own.where(F.col("k") == START).limit(1).count():
+        own = own.unionByName(own.sparkSession.createDataFrame([(START, starts, max(starts, 1), max(t_starts, 1), 1.0 / (total + size), 1.0 / (t_total + size), 1.0, 1.0)], own.schema))
+
+    floor = total / CACHE
+    before = own.select(F.col("k").alias("v"), F.col("n").alias("__nv"), "cn", "ct", "un", "ut")
+    after = own.select(F.col("k").alias("w"), F.col("n").alias("__nw"), "pn", "pt")
+
+    def gains(pairs: DataFrame) -> DataFrame:
+        both = join_skewed(join_skewed(pairs, before, ["v"], "__nv", total), after, ["w"], "__nw", total)
+        gain = lambda c: -F.log1p(MU * F.col(c) / (F.col("c" + c) * F.col("u" + c) * F.col("p" + c)))
+        return both.select("v", "w", gain("t").alias("xt"), gain("n").alias("xn"))
+
+    # At most CACHE rows each come to the driver.
+    many = own.where(F.col("n") >= floor).select("k", *(-F.log(c) for c in ("pt", "pn", "ut", "un"))).toDF("k", "pt", "pn", "ut", "un").toArrow()
+    common = gains(listed.where(F.col("n") >= floor)).toArrow()
+    v, w = (np.asarray(common[c]).astype(np.int64) for c in "vw")
+    few = own.where(F.col("n") < floor)
+    rest = gains(listed.where(F.col("n") < floor))
+    for kind, c in ((FOLLOWS, "p"), (PRECEDES, "u")):
+        rest = rest.unionByName(few.select(F.col("k").alias("v"), F.lit(kind).alias("w"), (-F.log(c + "t")).alias("xt"), (-F.log(c + "n")).alias("xn")))
+    return Model(once, rest, _arrays(np.asarray(many["k"]).astype(np.int64), many, ("pt", "pn", "ut", "un")), _arrays(_paired(v, w), common, ("xt", "xn")))
+
+
+def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is in the table, and its constants, 0 where it is not."""
+    own, values = table
+    if not len(own):
+        return np.zeros(len(keys), bool), np.zeros((len(values), len(keys)))
+    at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+    hit = own[at] == keys
+    return hit, np.where(hit, values[:, at], 0.0)
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Adds n_words, loss_target, loss_background and score (target less background), per word."""
     new = ("n_words", "loss_target", "loss_background", "score")
     slim = docs.drop(*(c for c in new if c != text))
-    names = slim.columns
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, listed, target, background = shared.value
-        for b in lots(batches, names.index(text)):
-            before, ids, owner = vocab.pairs(b.column(names.index(text)))
-            n = np.bincount(owner, minlength=b.num_rows)
-            losses = [np.bincount(owner, m.loss(listed, vocab.size, before, ids), b.num_rows) / np.maximum(n, 1) for m in (target, background)]
-            cols = [pa.array(x, mask=n == 0) for x in (*losses, losses[0] - losses[1])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n.astype(np.int64)), *cols], [*names, *new])
-
-    kinds = (T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType())
-    return slim.mapInArrow(run, T.StructType([*slim.schema.fields, *(T.StructField(c, k) for c, k in zip(new, kinds, strict=True))]))
+        singles, pairs = shared.value
+        for b in lots(batches):
+            v, w, owner, start = _pairs(b)
+            ref = np.asarray(b.column(2))
+            after, p = _found(singles, w)
+            ahead, u = _found(singles, v)
+            k = _paired(v, w)
+            hit, x = _found(pairs, k)
+            known = [np.bincount(owner, p[i] + u[i + 2] + x[i], b.num_rows) for i in (0, 1)]
+            # Keys that are not held here: each once a document, with its number there.
+            vs = np.concatenate([v[~hit], w[~after], v[~ahead]])
+            ws = np.concatenate([w[~hit], np.full((~after).sum(), FOLLOWS), np.full((~ahead).sum(), PRECEDES)])
+            os = np.concatenate([owner[~hit], owner[~after], owner[~ahead]])
+            _, at, n = np.unique(_paired(_paired(vs, ws), os), return_index=True, return_counts=True)
+            full = np.flatnonzero(np.diff(start) > 0)
+            none = np.zeros(len(full), np.int64)
+            lone = np.arange(len(at) + len(full)) < len(at)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([ref[os[at]], ref[full]])), pa.array(np.concatenate([vs[at], ref[full]])), pa.array(np.concatenate([ws[at], none])),
+                pa.array(np.concatenate([n, np.diff(start)[full]])), *(pa.array(np.concatenate([np.zeros(len(at)), x[full]]), mask=lone) for x in known),
+            ], ["ref", "v", "w", "n", "lt", "ln"])
+
+    # Equal rows have one reference and one score: their sums are of both, and so are their words.
+    ref = F.xxhash64(*slim.columns)
+    texts = _with_once(slim.withColumn("__ref", ref), model.once, key, text).select(F.col(text), "once", "__ref")
+    rows = texts.mapInArrow(run, ROWS).select("ref", F.xxhash64("v", "w").alias("k"), "n", "lt", "ln")
+    rest = model.rest.select(F.xxhash64("v", "w").alias("k"), "xt", "xn")
+    met = rows.join(rest.hint("merge"), "k", "left")
+    value = lambda c: F.sum(F.coalesce("l" + c, F.col("x" + c) * F.col("n"), F.lit(0.0))).alias("l" + c)
+    sums = met.groupBy(F.col("ref").alias("__ref")).agg(value("t"), value("n"), F.sum(F.when(F.col("lt").isNotNull(), F.col("n"))).alias("__n"), F.count("lt").alias("__rows"))
+    sums = sums.select("__ref", "__n", "__rows", (F.col("lt") / F.col("__n")).alias("__lt"), (F.col("ln") / F.col("__n")).alias("__ln"))
+    out = slim.withColumn("__ref", ref).join(sums.hint("merge"), "__ref", "left")
+    n_words = F.coalesce((F.col("__n") / F.col("__rows")).cast("long"), F.lit(0).cast("long"))
+    return out.select(*slim.columns, n_words.alias(new[0]), F.col("__lt").alias(new[1]), F.col("__ln").alias(new[2]), (F.col("__lt") - F.col("__ln")).alias(new[3]))
 
 
 def op2_lm_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All documents scored; the target is the documents that a label marks as of good quality."""
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    # The texts are dealt by id once; the plan is the same at every size.
-    marked = docs.select("doc_id", "text").join(good.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left")
     docs = docs.select("doc_id", "text")
+    good = labels.where("quality = 1 and doc_id is not null").select(F.xxhash64(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).alias("__j")).distinct()
+    # The texts are dealt by id once, for the marks and the unknown words; the plan is the same at every size.
+    marked = docs.withColumn("__j", _place(docs, "doc_id", "text")).join(good.withColumn("target", F.lit(True)).hint("merge"), "__j", "left")
     return score(docs, fit(marked, plain=docs)).drop("text")
