@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-
+from pyspark.sql import functions as F
 
 from tideline.llm import boosting, decontamination, html_text, lm_score, toxicity
 
@@ -142,6 +142,22 @@ def test_toxicity_on_held_out_documents(spark):
     assert {r.score for r in nothing} == {0.5}
 
 
+def test_toxicity_keeps_the_share_of_labels_when_rows_are_cut(spark):
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    picked = toxicity.pick(labels, "doc_id", max_rows=100)
+    rows = picked.select(F.lit("the same words").alias("text"), "toxic", "o", "weight")
+    assert rows.count() == 200 and rows.agg(F.sum(F.col("weight") * F.col("toxic")), F.sum("weight")).first() == (200, 2000)
+    # Without evidence the score is the share of toxic rows among all labels, not the half of the sample.
+    assert toxicity.train(rows).score(pa.array(["the same words"]))[0] == pytest.approx(0.1, abs=0.04)
+
+
+def test_weights_are_repeated_rows():
+    raw, y, n = np.array([0.0, 1, 1, 2, 3]), np.array([0.0, 1, 0, 0, 1]), np.array([3, 1, 2, 5, 1])
+    one, many = boosting.fit_isotonic(raw, y, n.astype(float)), boosting.fit_isotonic(np.repeat(raw, n), np.repeat(y, n))
+    assert np.allclose(one(raw), many(raw))
+    assert boosting.fit_trees(raw[:, None], y, n.astype(float)).base == pytest.approx(boosting.fit_trees(np.repeat(raw, n)[:, None], np.repeat(y, n)).base)
+
+
 def test_toxic_words_are_read_through_disguise():
     assert toxicity.normal("M0r0n!!") == "moron" and toxicity.normal("st-up.id") == "stupid" and toxicity.normal("loooser") == "loser"
     x = toxicity.measure(pa.array(["you are an i d i o t", "fine words here", None]), {"idiot": 5.0})

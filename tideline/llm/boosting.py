@@ -28,9 +28,10 @@ class Trees:
         return out
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 64, ridge: float = 1.0, least: float = 0.5) -> Trees:
-    """Second-order boosting of the logistic loss over quantile bins."""
-    share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
+def fit_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 64, ridge: float = 1.0, least: float = 0.5) -> Trees:
+    """Second-order boosting of the logistic loss over quantile bins; weights count relative to their mean."""
+    weight = np.ones(len(y)) if weight is None else weight / weight.mean()
+    share = min(max(float(np.average(y, weights=weight)), 1e-3), 1 - 1e-3)
     model = Trees(depth, float(np.log(share / (1 - share))))
     if len(np.unique(y)) < 2:
         return model
@@ -40,7 +41,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, ra
     inner = 2**depth - 1
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-raw))
-        g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+        g, h = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6)
         feature, cut, at = np.zeros(inner, np.int64), np.full(inner, np.inf), np.full(inner, bins + 1)
         node = np.zeros(len(y), np.int64)
         for level in range(depth):
@@ -81,13 +82,14 @@ class Isotonic:
         return np.interp(raw, self.x, self.y) if len(self.x) else np.full(len(raw), 0.5)
 
 
-def fit_isotonic(raw: np.ndarray, y: np.ndarray) -> Isotonic:
+def fit_isotonic(raw: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Isotonic:
     """Pool adjacent violators; equal raw scores are one point."""
+    own = np.ones(len(y)) if weight is None else weight
     if not len(raw):
         return Isotonic(np.zeros(0), np.zeros(0))
     values, where = np.unique(raw, return_inverse=True)
-    weight = np.bincount(where).astype(float)
-    mean = np.bincount(where, y) / weight
+    weight = np.bincount(where, own)
+    mean = np.bincount(where, own * y) / weight
     blocks: list[list[float]] = []  # first point, last point, weight, mean
     for i in range(len(values)):
         blocks.append([i, i, weight[i], mean[i]])

@@ -1,11 +1,12 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 Training reads labelled rows only, at most ``max_rows`` of each label in the
-order of their id's hash.  From these come
+order of their id's hash; each stands for (labelled rows of its label / rows
+taken of it) rows, so shares of the labels are those of all labels.  From these come
  * a lexicon: words, and word starts of 4 to 6 letters, whose share of toxic
    documents is far above that of clean ones, counted by a distributed sum;
- * trees over the features below, fitted on three quarters of the rows;
- * an isotonic line from the trees' output to a probability, on the last quarter.
+ * trees over the features below, fitted on three quarters of the rows, weighted;
+ * an isotonic line from the trees' output to a probability, on the last quarter, weighted.
 
 Scoring is a map over whole texts with no shuffle.  The lexicon (at most
 ``max_terms``) and the trees are of fixed size and travel with the task.
@@ -186,14 +187,16 @@ class Model:
 
 
 def pick(labels: DataFrame, key: str, max_rows: int = 8000) -> DataFrame:
-    """labels(key, toxic) -> at most ``max_rows`` rows of each label, the first by their id's hash."""
+    """labels(key, toxic) -> at most ``max_rows`` rows of each label, the first by their id's hash; ``weight``: the rows that each stands for."""
     order = F.xxhash64(F.col(key).cast("string"), F.lit("order"))
     known = labels.where(F.col("toxic").isNotNull()).groupBy(key).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).withColumn("o", order)
-    return known.where("toxic = 0").orderBy("o").limit(max_rows).unionByName(known.where("toxic = 1").orderBy("o").limit(max_rows))
+    sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [known.where(F.col("toxic") == y).orderBy("o").limit(max_rows).withColumn("weight", F.lit(max(sizes.get(y, 0) / max_rows, 1.0))) for y in (0, 1)]
+    return parts[0].unionByName(parts[1])
 
 
 def train(sample: DataFrame) -> Model:
-    """sample(text, toxic, o) -> Model; the rows are those that ``pick`` chose, so their number is bounded."""
+    """sample(text, toxic, o, weight) -> Model; the rows are those that ``pick`` chose, so their number is bounded."""
     from .common import stored
 
     sample = stored(sample.repartition(24, "o"), "toxic-sample")
@@ -202,18 +205,18 @@ def train(sample: DataFrame) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_lots(batches):
             x = measure(b.column(0), lexicon)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c) for c in x.T)], ["toxic", "o", *FEATURES])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c) for c in x.T)], ["toxic", "o", "weight", *FEATURES])
 
     # At most 2 * max_rows rows of numbers come to the driver.
-    rows = sample.select("text", "toxic", "o").mapInArrow(run, "toxic int, o long, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
+    rows = sample.select("text", "toxic", "o", "weight").mapInArrow(run, "toxic int, o long, weight double, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
     rows = rows.sort_by([("o", "ascending"), ("toxic", "ascending")])
-    y = np.asarray(rows["toxic"]).astype(float)
+    y, weight = np.asarray(rows["toxic"]).astype(float), np.asarray(rows["weight"])
     x = np.column_stack([np.asarray(rows[f]) for f in FEATURES]) if len(y) else np.zeros((0, len(FEATURES)))
     if not len(y):
         return Model({}, Trees(1, 0.0), Isotonic(np.zeros(0), np.zeros(0)))
     held = np.arange(len(y)) % 4 == 3
-    trees = fit_trees(x[~held], y[~held])
-    return Model(lexicon, trees, fit_isotonic(trees.raw(x[held]), y[held]))
+    trees = fit_trees(x[~held], y[~held], weight[~held])
+    return Model(lexicon, trees, fit_isotonic(trees.raw(x[held]), y[held], weight[held]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -240,6 +243,6 @@ def op3_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     picked = pick(labels.where(~held_out(F.col("doc_id"))), "doc_id")
     # Ids are chosen first, so only the texts of the training rows leave their place.
-    model = train(docs.join(F.broadcast(picked), "doc_id").select("text", "toxic", "o"))
+    model = train(docs.join(F.broadcast(picked), "doc_id").select("text", "toxic", "o", "weight"))
     out = score(docs, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
