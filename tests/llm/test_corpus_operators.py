@@ -43,6 +43,24 @@ def test_decontamination_finds_passages_with_replaced_words(spark):
     assert decontamination.op1_decontamination(frame.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_short_items_with_any_words_replaced(spark):
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(5, 31)}
+    docs, want = [], set()
+    for n, item in items.items():
+        most = n // 5
+        for a in range(n):
+            # One word replaced at every place, and two where the item has ten words or more; then as many as may be, and one more.
+            for places in [{a}, *({a, b} for b in range(a) if n <= 20), {(a + 3 * k) % n for k in range(most)}, {k * n // (most + 1) for k in range(most + 1)}]:
+                if len(places) <= most or (n <= 15 and a == 0):
+                    docs.append((len(docs), " ".join(["before", "it", *("other" if k in places else w for k, w in enumerate(item)), "after"])))
+                    if len(places) <= most:
+                        want.add((docs[-1][0], n))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_overlaps(frame, bench).collect()}
+    assert got == want
+
+
 def test_lm_score_against_plain_counts(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choices("a b c d".split() if i % 2 else "c d e f".split(), k=rng.randint(0, 30))) for i in range(40)] + [None, "", "zzz", "A b\tC"]

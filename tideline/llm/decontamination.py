@@ -4,9 +4,12 @@ A seed is a mask over a window of words: places marked 1 are hashed, places
 marked 0 are ignored, so a passage whose words were replaced at ignored places
 still gives the same hash.  Windows of all benchmark items are hashed under each
 seed, windows of all documents likewise, and equal hashes are hits.  Each hit is
-verified on the words themselves: on the hit's alignment, within ``reach`` words
-on either side, the best stretch counts 1 for an equal word and -2 for a
-different one, and must reach ``min_score``.
+verified on the words themselves, on the hit's alignment within ``reach`` words
+on either side.  The best stretch counts 1 for an equal word and -2 for a
+different one, and must reach ``min_score``; or, in items so short that this asks
+for more than 80 % of their words, four fifths of the whole item must be equal.
+Short items are cut into one more block of words than may differ, so that at least
+one block is whole in every copy, and each block's first words are a seed.
 
 Everything is DataFrame code and stays in one pass over the documents: words are
 hashed once per document, every window is tested against a bit array made from
@@ -18,9 +21,8 @@ counted first: beyond ``max_broadcast`` windows it is merge-joined instead, only
 the words around each hit travelling.
 
 Defined cases: words are runs of letters and digits in lower case; null and empty
-texts have none and are never reported; items of fewer than 12 words are matched
-on 6 equal words and must then agree in 80 % of their words, items under 6 words
-are never reported; repeated rows of one id give one row per item; an empty
+texts have none and are never reported; items of fewer than 12 words must agree in 80 %
+of their words, items under 5 words are never reported; repeated rows of one id give one row per item; an empty
 benchmark or table gives no rows.
 """
 
@@ -34,8 +36,10 @@ from pyspark.sql import functions as F
 
 #: Each ignores four of twelve words; any one replaced word is ignored by at least one of them.
 SEEDS = ("101101101101", "110110110110", "011011011011", "111100001111")
-#: For items shorter than a seed.
-SHORT = "111111"
+#: For blocks of short items: of four words or more, of three, and for items of five words with the middle one replaced.
+BLOCKS = ("1111", "111", "11011")
+#: Words of the shortest item that is reported.
+LEAST = 5
 
 
 def word_hashes(text: Column) -> Column:
@@ -57,24 +61,35 @@ def find_overlaps(
     text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """One row per document and benchmark item that share a verified stretch: key, item, n_hits, score."""
-    masks = [*seeds, SHORT]
+    masks = [*seeds, *BLOCKS]
     span = max(map(len, seeds))
     items = benchmark.select(F.col(item).alias("__item"), word_hashes(F.col(item_text)).alias("__b"))
     size = F.size("__b")
-    windows = items.where(size >= len(SHORT)).select("__item", "__b", F.explode(F.sequence(F.lit(0), size - len(SHORT))).alias("__j"))
+    # Beyond this size, 80 % of equal words reach min_score as a stretch.
+    short = size < max(span, min(-(-5 * min_score // 2), reach + 1))
+    whole = F.floor((4 * size + 4) / 5).cast("int")
+    blocks = size - whole + 1
+    begins = F.exists(F.sequence(F.lit(0), blocks - 1), lambda b: F.floor(b * size / blocks) == F.col("__j"))
+    four = F.floor(size / blocks) >= 4
+    wanted = {BLOCKS[0]: short & four & begins, BLOCKS[1]: short & ~four & begins, BLOCKS[2]: (size == LEAST) & (F.col("__j") == 0)}
+    windows = items.where(size >= LEAST).select("__item", "__b", F.explode(F.sequence(F.lit(0), size - min(map(len, masks)))).alias("__j"))
     own = [
-        F.when((size >= span) & (F.col("__j") + len(m) <= size) if m != SHORT else size < span, F.struct(F.lit(i).alias("m"), _hash(i, m, F.col("__j"), F.col("__b")).alias("h")))
+        F.when((F.col("__j") + len(m) <= size) & (wanted[m] if i >= len(seeds) else size >= span), F.struct(F.lit(i).alias("m"), _hash(i, m, F.col("__j"), F.col("__b")).alias("h")))
         for i, m in enumerate(masks)
     ]
-    least = F.when(size < span, F.ceil(size * 0.8)).otherwise(min_score).cast("int")
-    table = windows.select("__item", "__j", "__b", least.alias("__least"), F.inline(F.array_compact(F.array(*own))).alias("__m", "__h")).distinct()
+    # No stretch reaches more than the item's size, and no item has more equal words.
+    none = size + 1
+    table = windows.select(
+        "__item", "__j", "__b", F.when(size >= span, F.lit(min_score)).otherwise(none).alias("__least"), F.when(short, whole).otherwise(none).alias("__whole"),
+        F.inline(F.array_compact(F.array(*own))).alias("__m", "__h"),
+    ).distinct()
     sizes = {r["__m"]: r.n for r in table.groupBy("__m").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per seed
     n = sum(sizes.values())
     used = [(i, m) for i, m in enumerate(masks) if sizes.get(i)]
     if not used:
         return docs.select(F.col(key)).join(benchmark.select(F.col(item)).limit(0), F.lit(False)).select("*", F.lit(0).cast("long").alias("n_hits"), F.lit(0).cast("long").alias("score"))
     small = n <= max_broadcast
-    known = table.select("__h", "__item", _around(F.col("__b"), F.col("__j"), reach, span + reach).alias("__bw"), "__least").distinct()
+    known = table.select("__h", "__item", _around(F.col("__b"), F.col("__j"), reach, span + reach).alias("__bw"), "__least", "__whole").distinct()
 
     # A bit per hash of the benchmark; 64 to 128 bits a window keep chance passes near 1 %.
     bits = max(1 << 16, 1 << (64 * min(n, max_broadcast)).bit_length())
@@ -85,7 +100,8 @@ def find_overlaps(
 
     hashed = docs.select(F.col(key).alias("__id"), word_hashes(F.col(text)).alias("__d"))
     length = F.size("__d")
-    places = hashed.where(length >= len(SHORT)).select("__id", "__d", F.explode(F.sequence(F.lit(0), length - len(SHORT))).alias("__i"))
+    lowest = min(len(m) for _, m in used)
+    places = hashed.where(length >= lowest).select("__id", "__d", F.explode(F.sequence(F.lit(0), length - lowest)).alias("__i"))
 
     def seen(i: int, m: str) -> Column:
         # No array functions here, so that the test stays in generated code and no row is copied for it.
@@ -98,7 +114,7 @@ def find_overlaps(
     context = _around(F.col("__d"), F.col("__i"), reach, span + reach)
     if small:
         met = hits.select("__id", "__d", "__i", F.explode(passed).alias("__h")).join(F.broadcast(known), "__h")
-        met = met.select("__id", "__item", "__least", context.alias("__dw"), "__bw")
+        met = met.select("__id", "__item", "__least", "__whole", context.alias("__dw"), "__bw")
     else:
         met = hits.select("__id", context.alias("__dw"), F.explode(passed).alias("__h")).join(known.hint("merge"), "__h")
     equal = F.zip_with("__dw", "__bw", lambda a, b: F.coalesce(a == b, F.lit(False)))
@@ -108,8 +124,9 @@ def find_overlaps(
         now = F.greatest(F.lit(0), acc["now"] + F.when(e, 1).otherwise(-2))
         return F.struct(now.alias("now"), F.greatest(acc["best"], now).alias("best"))
 
-    scored = met.select("__id", "__item", "__least", F.aggregate(equal, zero, step, lambda a: a["best"]).alias("__s"))
-    scored = scored.where(F.col("__s") >= F.col("__least"))
+    same = F.size(F.filter(equal, lambda e: e))
+    scored = met.select("__id", "__item", "__least", "__whole", same.alias("__same"), F.aggregate(equal, zero, step, lambda a: a["best"]).alias("__s"))
+    scored = scored.where((F.col("__s") >= F.col("__least")) | (F.col("__same") >= F.col("__whole")))
     out = scored.groupBy("__id", "__item").agg(F.count(F.lit(1)).alias("n_hits"), F.max("__s").cast("long").alias("score"))
     return out.select(F.col("__id").alias(key), F.col("__item").alias(item), "n_hits", "score")
 
