@@ -53,6 +53,15 @@ def test_glitches_jumps_and_gaps(spark):
     assert np.allclose(signal(sequences.fill_gaps(frame(spark, np.where(bad, -99, line), bad), noise=False)), line)
 
 
+def test_a_stream_with_too_many_jumps_is_flagged_whole(spark):
+    n = 8000
+    d = np.random.default_rng(6).normal(size=n) * 0.1
+    for steps, whole in ((15, True), (8, False)):
+        x = d + 30.0 * np.searchsorted(500 * np.arange(1, steps + 1), np.arange(n), side="right")
+        flags = sequences.jump_correct(frame(spark, x), length=60).toPandas()["flags"]
+        assert (flags == 1).all() == whole and flags.any()
+
+
 def test_time_constant_round_trip_and_noise_chain(spark):
     n = 512
     d = np.sin(np.arange(n) / 20.0)
