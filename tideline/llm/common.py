@@ -32,13 +32,39 @@ def strip_white(c: Column) -> Column:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is absent (tests, a single machine) a folder under the
-    warehouse serves.
+    Where that setting is absent a folder under the warehouse serves, on a single
+    machine only: a cluster's executors would each write into a folder of their own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or (
-        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tideline"
-    )
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tideline"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: Folders that each application has made and not yet released.
+_made: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Deletes the folders made so far, but for those that ``keep`` reads.
+
+    For the end of a stage whose result is written: a frame that is still to be
+    computed from them would fail.
+    """
+    used = [] if keep is None else keep.inputFiles()
+    kept = []
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        name = path.rsplit("/", 1)[1]
+        if any(f"/{name}/" in f for f in used):
+            kept.append(path)
+            continue
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made[spark.sparkContext.applicationId] = kept
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -48,6 +74,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bounds the bytes of the Arrow batches that go to Python workers, unless the session has a lower bound.
+
+    The row bound alone (10,000 by default) says nothing of long texts.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("bB")) <= size:
+        spark.conf.set(name, str(size))
+
+
 def split_heavy(keys: DataFrame, count: str, total: int) -> tuple[DataFrame, DataFrame]:
     """Splits a table with one row per key into heavy keys and the rest.
 

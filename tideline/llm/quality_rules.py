@@ -6,13 +6,15 @@ alone: a policy is a version and the set of rules that reject, so a new policy
 or an ablation never reads a text again.
 
 Measuring works on Arrow batches with flat NumPy arrays: the windows of five
-words of all texts of a batch are hashed at once, and a sort finds repeats.  A
-task holds one batch (``spark.sql.execution.arrow.maxRecordsPerBatch`` rows) at
-a time; nothing is shuffled.
+words of a lot of texts are hashed at once, and a sort finds repeats.  A lot has
+at most 2 MB of text unless one text alone has more, and what it took is given
+back before the next; nothing is shuffled.  A task's memory is bounded by that and
+by the bytes of an Arrow batch (``common.bounded_batches``).
 
 Defined cases: null and empty texts have no words, all measurements 0, and fail
 ``few_words``; a text under five words has no window; repeated rows are measured
-alike; other columns are passed on.
+alike, those with a null or shared id too; other columns are passed on, but for those
+named like a measurement or ``failed``, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import plain, windows, words
+from .common import bounded_batches
+from .tokens import lots, plain, windows, words
 
 #: Measurements in the ledger, all long.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_alpha", "n_caps", "n_long_words", "n_stutter")
@@ -148,9 +151,10 @@ def evaluate(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES)
     clash = [c for c in names if c in MEASURES or c == "failed"]
     docs = docs.drop(*clash)
     names = docs.columns
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lots(batches, names.index(text)):
             yield pa.RecordBatch.from_arrays([*b.columns, *measure(b.column(names.index(text)))], [*b.schema.names, *MEASURES])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])

@@ -40,6 +40,7 @@ def lots(batches: Iterator[pa.RecordBatch], at: int = 0, rows: int = 2000, size:
             high = min(max(high, low + 1), low + rows, b.num_rows)
             yield b.slice(low, high - low)
             low = high
+            pa.default_memory_pool().release_unused()
 
 
 @dataclass
