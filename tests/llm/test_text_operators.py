@@ -127,20 +127,31 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("max_bits", [1 << 23, 1])
+#: As the contract says them.
+CONTRACT = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+@pytest.mark.parametrize("max_bits", [1 << 23, 63])
 def test_url_rules_match_brute_force(spark, max_bits):
-    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS)], "page_id long, url string, k string")
+    assert sorted(url_filter.RULES) == sorted(CONTRACT)
+    urls = [*URLS, *URLS[:5], "http://x.y.example.net/de/8", "http://example.net/de/9"]
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, k string")
     got = url_filter.judge_urls(pages, max_bits=max_bits).collect()
-    assert len(got) == len(URLS)
+    assert len(got) == len(urls)
     for r in got:
-        assert (r.host, r.path, r.rule, r.verdict) == url_brute(URLS[r.page_id], url_filter.RULES)
+        assert (r.host, r.path, r.rule, r.verdict) == url_brute(urls[r.page_id], CONTRACT)
+    assert url_filter.op10_url_filter(pages.limit(0)).collect() == []
+    none = url_filter.judge_urls(pages, rules=(), default="block").collect()
+    assert {(r.rule, r.verdict) for r in none} == {(None, "block")} and len(none) == len(urls)
 
 
-def test_cascade_is_exact_over_its_universe(spark):
+@pytest.mark.parametrize("max_bits", [1 << 23, 1000])
+def test_cascade_is_exact_over_its_universe(spark, max_bits):
     listed = spark.range(0, 4000, 8).selectExpr("concat('k', id) k")
     universe = spark.range(4000).selectExpr("concat('k', id) k")
-    cascade = url_filter.build_cascade(listed, universe.union(universe), first_rate=0.3, rate=0.5)
-    assert len(cascade.levels) > 2
+    cascade = url_filter.build_cascade(listed, universe.union(universe), first_rate=0.3, rate=0.5, max_bits=max_bits)
+    assert all(63 * len(x.words) <= max(max_bits, 63) for x in cascade.levels)
+    assert len(cascade.shards) > 1 if max_bits == 1000 else len(cascade.levels) > 2
     from pyspark.sql import functions as F
 
     held = universe.where(cascade.holds(F.col("k"))).collect()
@@ -175,7 +186,7 @@ def test_warc_round_trip(spark):
     assert warc.op6_warc(pages.limit(0)).count() == 0
 
 
-PACK_TEXTS = [*TEXTS, "a  b", " lead", "trail ", "tab\tbed", "line\n\nline", "it's we'll x\n y", "long word " * 1500, "<|endoftext|> is text", "12 345\nBig,\nend. 'tis", "x" * 3000]
+PACK_TEXTS = [*TEXTS, "a  b", " lead", "trail ", "tab\tbed", "line\n\nline", "it's we'll x\n y", "long word " * 1500, "<|endoftext|> is a token", "a <|endoftext|><|endoftext|>b <|endoftext|", "x<|startoftext|> \u00e9<|endoftext|>\n", "12 345\nBig,\nend. 'tis", "x" * 3000]
 
 
 def test_packing_against_the_tokenizer(spark):
@@ -183,7 +194,6 @@ def test_packing_against_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = packing.op8_packing(frame(spark, PACK_TEXTS)).collect()
     of = defaultdict(list)
     windows = defaultdict(list)
@@ -205,6 +215,14 @@ def test_packing_against_the_tokenizer(spark):
         assert at <= 1024
 
 
+def test_packing_of_nothing_and_of_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, None), (3, "a b"), (3, "a b")], "doc_id long, text string")
+    assert packing.op8_packing(docs.limit(0)).collect() == []
+    rows = packing.op8_packing(docs).collect()
+    assert sorted((r.doc_id or 0, r.start, r.length) for r in rows) == [(0, 0, 1), (0, 0, 3), (3, 0, 3), (3, 0, 3)]
+    assert sorted(r.offset for r in rows) == [0, 3, 6, 9]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 16), max_size=60))
 def test_best_fit_decreasing_matches_brute_force(lengths):

@@ -15,7 +15,8 @@ Window numbers start at group * 2**32.
 Texts are encoded whole, one at a time; only lengths and a checksum of each piece
 leave the task that encodes them.
 
-Defined cases: a null or empty text is the terminator alone; repeated rows are
+Defined cases: a null or empty text is the terminator alone; a null id stays null;
+the name of an added token in a text is that token; repeated rows are
 packed as further documents; equal lengths are packed in the order of the ids'
 hash, so a rerun gives the same windows; an empty table gives no pieces.
 """
@@ -23,6 +24,7 @@ hash, so a rerun gives the same windows; an empty table gives no pieces.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -32,27 +34,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .tokens import plain
+from .common import bounded_batches, stored
+from .tokens import lots, plain
+
 
 class Encoder:
     """A byte-level BPE vocabulary; ids of a text as little-endian unsigned 32-bit bytes.
 
     ``ranks`` is a file of base64 tokens and their ids, the form in which tiktoken
-    reads the vocabulary that the tokenizers library reads as JSON; both give the
-    same ids, which the tests hold against each other.
+    reads the vocabulary that the tokenizers library reads as JSON (``definition``).
+    The JSON's added tokens are taken over, so the name of one in a text gives its
+    id, as with that library; both give the same ids, which the tests hold against
+    each other.
     """
 
-    def __init__(self, ranks: str, pattern: str):
+    def __init__(self, ranks: str, pattern: str, definition: str):
         import tiktoken
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(token): int(i) for token, i in map(bytes.split, f)}
-        # Without special tokens, the name of one in a text is ordinary text.
-        self._t = tiktoken.Encoding(ranks, pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        with open(definition, encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self._t = tiktoken.Encoding(ranks, pat_str=pattern, mergeable_ranks=table, special_tokens=added)
 
     def encode(self, text: str) -> bytes:
-        return array("I", self._t.encode_ordinary(text)).tobytes()
+        return array("I", self._t.encode(text, allowed_special="all")).tobytes()
 
 
 class RoomTree:
@@ -104,24 +110,23 @@ def best_fit_decreasing(lengths: Iterable[int], window: int) -> tuple[np.ndarray
     return where, offset
 
 
-def pieces(docs: DataFrame, tokenizer: tuple[str, str], window: int, end_id: int, text: str, key: str) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: tuple[str, str, str], window: int, end_id: int, text: str, key: str) -> DataFrame:
     """key, order, start, length, ids_crc32, doc_tokens of each piece; ids themselves are not kept."""
     kind = dict(docs.dtypes)[key]
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*tokenizer)
         end = array("I", [end_id]).tobytes()
-        for b in batches:
-            for low in range(0, b.num_rows, 512):
-                part = b.slice(low, 512)
-                rows: list[tuple[int, int, int, int, int]] = []
-                for i, text_i in enumerate(plain(part.column(1)).to_pylist()):
-                    ids = encoder.encode(text_i) + end
-                    n = len(ids) // 4
-                    rows += [(i, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
-                cols = np.asarray(rows, np.int64).reshape(-1, 5).T
-                at = pa.array(cols[0])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), *(pa.array(c) for c in cols[1:])], names)
+        for part in lots(batches, 1, rows=512):
+            rows: list[tuple[int, int, int, int, int]] = []
+            for i, text_i in enumerate(plain(part.column(1)).to_pylist()):
+                ids = encoder.encode(text_i) + end
+                n = len(ids) // 4
+                rows += [(i, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
+            cols = np.asarray(rows, np.int64).reshape(-1, 5).T
+            at = pa.array(cols[0])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), *(pa.array(c) for c in cols[1:])], names)
 
     names = [key, "order", "start", "length", "ids_crc32", "doc_tokens"]
     slim = docs.select(F.col(key), F.col(text), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("order"))
@@ -129,11 +134,11 @@ def pieces(docs: DataFrame, tokenizer: tuple[str, str], window: int, end_id: int
 
 
 def pack(
-    docs: DataFrame, tokenizer: tuple[str, str], window: int = 1024, end_id: int = 0, group_tokens: int = 4_000_000, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, tokenizer: tuple[str, str, str], window: int = 1024, end_id: int = 0, group_tokens: int = 4_000_000, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """Pieces of all documents with sequence_id and offset, packed best-fit decreasing.
 
-    ``tokenizer``: what Encoder takes, a file that every executor has and its pattern.
+    ``tokenizer``: what Encoder takes, files that every executor has and the pattern.
     """
     cut = stored(pieces(docs, tokenizer, window, end_id, text, key), "pieces")
     total = cut.agg(F.sum("length")).first()[0] or 0
@@ -156,5 +161,5 @@ def op8_packing(docs: DataFrame) -> DataFrame:
     """The contract's pieces, over the whole table."""
     import public_tokenizers
 
-    tokenizer = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    tokenizer = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"))
     return pack(docs.select("doc_id", "text"), tokenizer)
