@@ -11,15 +11,19 @@ well, and so on until no key is wrong.  A key is listed exactly if the first
 level that rejects it is an even one (or if it passes an odd last level).
 Within the universe this is exact, and the URLs are judged without a join.
 
-Only keys that pass level 1 are ever shuffled, so the cost of building does not
-follow the corpus.  Everything is DataFrame code.  A level's bits travel as one
-array; their number is bounded by ``max_bits``, and beyond it the listed keys
-are merge-joined instead, with the same verdicts.
+One cascade holds the keys of all rules; a second tells those that block from the
+others, its universe being the listed keys alone.  Building reads the corpus once:
+only keys that pass level 1 are ever shuffled, so its cost does not follow the corpus.
+Everything is DataFrame code.  A level's bits travel as one array of at most
+``max_bits`` bits; beyond it the keys are cut by a hash into as many cascades as
+it takes, so what a task holds follows the rules, about 12 bits each, and the
+plan and the verdicts are alike at every size.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path
 and matches no rule, so the default holds; repeated rows are judged alike; two
 rules of equal length cannot both fit unless they differ in the host's length,
-and the longer host then wins; an empty rule list judges everything by default.
+and the longer host then wins; two rules of one host and path must agree; an empty
+rule list judges everything by default.
 """
 
 from __future__ import annotations
@@ -31,14 +35,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import LOWER, UPPER, lower_ascii, stored
 
 #: (verdict, host, path) of the contract.
 RULES = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
-    ("allow", "example.net", "/de/8"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
 
@@ -70,18 +74,18 @@ class Level:
     seed: int
 
     def passes(self, key: Column) -> Column:
-        bits = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to a literal
-        out = F.lit(True)
-        for i in range(self.hashes):
-            p = F.pmod(F.xxhash64(F.lit(64 * self.seed + i), key), F.lit(len(self.words) * 63))
-            word = F.element_at(bits, (F.floor(p / 63) + 1).cast("int"))
-            out = out & (F.getbit(word, (p % 63).cast("int")) == 1)
-        return out
+        bits = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to one literal
+        places = F.array(*[F.pmod(F.xxhash64(F.lit(64 * self.seed + i), key), F.lit(len(self.words) * 63)) for i in range(self.hashes)])
+        return F.forall(places, lambda p: F.getbit(F.element_at(bits, (F.floor(p / 63) + 1).cast("int")), (p % 63).cast("int")) == 1)
+
+
+def _bits(n: int, rate: float) -> int:
+    return max(63, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
 
 
 def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     """A filter for the n rows of keys(k) with about this false positive rate."""
-    bits = max(63, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
+    bits = _bits(n, rate)
     words, hashes = -(-bits // 63), max(1, round(bits / n * math.log(2)))
     places = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(64 * seed + i), F.col("k")), F.lit(words * 63)) for i in range(hashes)]))
     at = keys.select(places.alias("p"))
@@ -92,38 +96,61 @@ def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
 
 @dataclass
 class Cascade:
-    """Exact membership of keys within the universe it was built over."""
+    """Exact membership of keys within the universe it was built over; ``shards[i]`` has the levels for keys of that hash."""
 
-    levels: list[Level]
+    shards: list[list[Level]]
+
+    @property
+    def levels(self) -> list[Level]:
+        return [level for shard in self.shards for level in shard]
 
     def holds(self, key: Column) -> Column:
-        out = F.lit(len(self.levels) % 2 == 1)
-        for i in reversed(range(len(self.levels))):
-            out = F.when(~self.levels[i].passes(key), F.lit(i % 2 == 1)).otherwise(out)
+        def one(levels: list[Level]) -> Column:
+            out = F.lit(len(levels) % 2 == 1)
+            for i in reversed(range(len(levels))):
+                out = F.when(~levels[i].passes(key), F.lit(i % 2 == 1)).otherwise(out)
+            return out
+
+        if len(self.shards) == 1:
+            return one(self.shards[0])
+        out, at = F.lit(False), _shard(key, len(self.shards))
+        for i, levels in enumerate(self.shards):
+            out = F.when(at == i, one(levels)).otherwise(out)
         return out
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, first_rate: float = 0.01, rate: float = 0.5, max_bits: int = 1 << 23) -> Cascade | None:
-    """listed(k), universe(k) -> Cascade; None if a level would pass ``max_bits``.
+def _shard(key: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(n))
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, first_rate: float = 0.01, rate: float = 0.5, max_bits: int = 1 << 23) -> Cascade:
+    """listed(k), universe(k) -> Cascade.
 
     ``universe`` may repeat keys: it is reduced to those that pass level 1 before
-    any shuffle.
+    any shuffle.  It is read once, whatever the number of levels and shards.
     """
-    levels: list[Level] = []
-    # The keys to encode at this level, and those that must fail it.
-    ins, outs = listed.distinct().cache(), universe
-    n = ins.count()
-    while n:
-        r = rate if levels else first_rate
-        if -n * math.log(r) / math.log(2) ** 2 > max_bits:
-            return None
-        levels.append(_level(ins, n, r, len(levels)))  # levels hash apart, or they would repeat each other's errors
-        wrong = outs.where(levels[-1].passes(F.col("k"))).distinct()
-        if len(levels) == 1:
-            wrong = wrong.join(ins, "k", "left_anti")
-        ins, outs = wrong.cache(), ins
+    listed = stored(listed.distinct(), "listed")
+    total = listed.count()
+    # Shards differ in size by chance, so each is planned for half the bound.
+    n_shards = max(1, -(-2 * _bits(total, first_rate) // max_bits)) if _bits(total, first_rate) > max_bits else 1
+    at = _shard(F.col("k"), n_shards)
+    sizes = {r.s: r.n for r in listed.groupBy(at.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a shard
+    first = [[_level(listed.where(at == s), sizes[s], first_rate, 0)] if sizes.get(s) else [] for s in range(n_shards)]
+    if not total:
+        return Cascade(first)
+    passed = stored(universe.where(Cascade(first).holds(F.col("k"))).distinct(), "universe-passed")
+    wrong = stored(passed.join(listed, "k", "left_anti"), "universe-wrong")
+    shards = []
+    for s, levels in enumerate(first):
+        # The keys to encode at the next level, and those that must fail it.
+        ins, outs = wrong.where(at == s), listed.where(at == s)
         n = ins.count()
-    return Cascade(levels)
+        while n:
+            levels.append(_level(ins, n, rate, len(levels)))  # levels hash apart, or they would repeat each other's errors
+            ins, outs = stored(outs.where(levels[-1].passes(F.col("k"))), f"level{len(levels)}"), ins
+            n = ins.count()
+        shards.append(levels)
+    return Cascade(shards)
 
 
 def judge_urls(
@@ -134,28 +161,20 @@ def judge_urls(
     lengths = sorted({len(p) for _, _, p in rules})
     host, path = host_and_path(F.col(url))
     out = pages.withColumns({"host": host, "path": path})
+    if not rules:
+        return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    low = str.maketrans(UPPER, LOWER)
+    said = {h.translate(low) + p: v for v, h, p in rules}
+    if any(said[h.translate(low) + p] != v for v, h, p in rules):
+        raise ValueError("two rules of one host and path differ in their verdict")
+    listed = spark.createDataFrame(list(said.items()), "k string, v string")
     out = out.withColumn("__keys", url_keys(F.col("host"), F.col("path"), lengths))
-    hits: dict[str, Column] = {}
-    for verdict in ("allow", "block"):
-        own = [(h.translate(str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})) + p,) for v, h, p in rules if v == verdict]
-        listed = spark.createDataFrame(own, "k string")
-        cascade = build_cascade(listed, out.select(F.explode("__keys").alias("k")), max_bits=max_bits)
-        if cascade is not None:
-            hits[verdict] = F.filter(F.col("__keys"), cascade.holds)
-        else:  # beyond the bound: the same keys by a merge join on the distinct keys of each URL
-            found = out.select(F.explode(F.array_distinct("__keys")).alias("k")).distinct().join(listed.distinct().hint("merge"), "k")
-            urls = out.select("host", "path", F.explode(F.array_distinct("__keys")).alias("k")).distinct().join(found.hint("merge"), "k")
-            urls = urls.groupBy(F.col("host").alias("__h"), F.col("path").alias("__p")).agg(F.collect_set("k").alias(f"__{verdict}"))
-            out = out.join(urls, (out["host"] == F.col("__h")) & (out["path"] == F.col("__p")), "left").drop("__h", "__p")
-            hits[verdict] = F.coalesce(F.col(f"__{verdict}"), F.array().cast("array<string>"))
-
-    def ranked(keys: Column, verdict: str) -> Column:
-        return F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), F.locate("/", k).alias("h"), k.alias("rule"), F.lit(verdict).alias("verdict")))
-
-    best = F.array_max(F.concat(ranked(hits["allow"], "allow"), ranked(hits["block"], "block")))
-    out = out.withColumn("__best", best)
-    out = out.withColumns({"rule": F.col("__best")["rule"], "verdict": F.coalesce(F.col("__best")["verdict"], F.lit(default))})
-    return out.drop("__keys", "__best", "__allow", "__block")
+    known = build_cascade(listed.select("k"), out.select(F.explode("__keys").alias("k")), max_bits=max_bits)
+    blocks = build_cascade(listed.where("v = 'block'").select("k"), listed.select("k"), max_bits=max_bits)
+    ranked = F.transform(F.filter(F.col("__keys"), known.holds), lambda k: F.struct(F.length(k).alias("n"), F.locate("/", k).alias("h"), k.alias("rule")))
+    out = out.withColumn("rule", F.array_max(ranked)["rule"])
+    verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(blocks.holds(F.col("rule")), F.lit("block")).otherwise(F.lit("allow"))
+    return out.withColumn("verdict", verdict).drop("__keys")
 
 
 def op10_url_filter(pages: DataFrame) -> DataFrame:
