@@ -237,3 +237,69 @@ def test_nothing_in_the_library_needs_this_folder():
         if "llm" not in f.parts:
             assert not re.search(r"^\s*(from|import)\s.*\bllm\b", f.read_text(), re.M), f
 
+
+
+def overlaps_brute(docs, items, reach=32, min_score=12):
+    """Every document, item, mask and pair of places, by the rules of the docstring."""
+    import re
+
+    def words(text):
+        return [w for w in re.split(r"[^\w]+|_", (text or "").lower()) if w]
+
+    found = {}
+    span = 12
+    for d, text in docs:
+        a = words(text)
+        for it, item in items:
+            b = words(item)
+            n = len(b)
+            if n < 5:
+                continue
+            whole = (4 * n + 4) // 5
+            short = n < 30
+            blocks = n - whole + 1
+            begins = {k * n // blocks for k in range(blocks)}
+            four = n // blocks >= 4
+            hits = set()
+            for m, mask in enumerate([*decontamination.SEEDS, *decontamination.BLOCKS]):
+                on = [k for k, c in enumerate(mask) if c == "1"]
+                for j in range(n - len(mask) + 1):
+                    if m < 4 and n < span or m == 4 and not (short and four and j in begins) or m == 5 and not (short and not four and j in begins) or m == 6 and not (n == 5 and j == 0):
+                        continue
+                    for i in range(len(a) - len(mask) + 1):
+                        if all(a[i + k] == b[j + k] for k in on):
+                            hits.add((m, i, j))
+            good, best = 0, 0
+            for _, i, j in hits:
+                eq = [0 <= i + k < len(a) and 0 <= j + k < n and a[i + k] == b[j + k] for k in range(-reach, span + reach + 1)]
+                now = top = 0
+                for e in eq:
+                    now = max(0, now + (1 if e else -2))
+                    top = max(top, now)
+                if n >= span and top >= min_score or short and sum(eq) >= whole:
+                    good, best = good + 1, max(best, top)
+            if good:
+                found[d, it] = (good, best)
+    return found
+
+
+@pytest.mark.parametrize("most", [64 << 20, 1])
+def test_decontamination_matches_brute_force(spark, most):
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(30)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(n))) for k, n in enumerate([3, 5, 5, 8, 11, 12, 16, 25, 40])]
+    items += [(90, items[6][1]), (91, ""), (92, None), (93, items[3][1])]
+    docs = []
+    for i in range(60):
+        around = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 40))]
+        part = (items[i % 9][1]).split()
+        for _ in range(rng.randrange(0, 4)):
+            part[rng.randrange(len(part))] = "other"
+        docs.append((i, " ".join([*around, *(part[: rng.randrange(1, len(part) + 1)] if i % 3 == 0 else part), *around])))
+    docs += [(100, None), (101, ""), (102, "w1 " * 3000 + items[8][1])]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_hits, r.score) for r in decontamination.find_overlaps(frame, bench, max_broadcast=most).collect()}
+    want = overlaps_brute(docs, items)
+    assert len(want) > 20 and got == want
