@@ -49,22 +49,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 _made: dict[str, list[str]] = {}
 
 
-def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Deletes the folders made so far, but for those that ``keep`` reads.
+def folders(spark: SparkSession) -> set[str]:
+    """The folders that this application has made and not released."""
+    return set(_made.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: set[str], keep: DataFrame | None = None) -> None:
+    """Deletes those of ``paths`` that this application made, but for those that ``keep`` reads.
 
     For the end of a stage whose result is written: a frame that is still to be
     computed from them would fail.
     """
     used = [] if keep is None else keep.inputFiles()
-    kept = []
-    for path in _made.pop(spark.sparkContext.applicationId, []):
-        name = path.rsplit("/", 1)[1]
-        if any(f"/{name}/" in f for f in used):
-            kept.append(path)
-            continue
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _made[spark.sparkContext.applicationId] = kept
+    for path in folders(spark) & paths:
+        if not any(f"/{path.rsplit('/', 1)[1]}/" in f for f in used):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _made[spark.sparkContext.applicationId].remove(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -16,13 +16,14 @@ pair also needs 9 * min(n - p, m - q) >= 4 * (n + m) at some place where it meet
 3. Prefixes are dealt by shingle and sorted.  A shingle with up to ``LONG``
    classes gives all pairs of classes of fitting size, which is linear in the
    number of prefix entries.  The second order's prefixes are made only of classes
-   that form pairs under the first.
+   that form pairs, or are in longer runs, under the first; a pair goes on only if it
+   meets there too, in a short run or by a shingle of a longer one.
 4. A shingle with more classes (a large group of near copies) gives no pairs at
    first: its classes are compared with one of them, the one that holds most of
    such shingles, before any pair of step 3.  Then only classes outside the main
-   component are compared with those of other components.  Pairs inside one
-   component, of step 3 too, are never needed.  Classes unlike the leader whose shingles of their own are few still
-   cost the square of their number.
+   component are compared with those of other components, in blocks.  Pairs inside one
+   component, of step 3 too, are never needed.  Classes unlike the leader whose
+   shingles of their own are few still cost the square of their number in a run.
 5. Candidates are verified on their whole sets.  Sets travel once to each block
    of their candidate component, at most 2 * BLOCK sets a block.
 
@@ -45,9 +46,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_skewed, stored
+from .common import bounded_batches, join_skewed, stored
 from .components import components
-from .tokens import mixed, windows, words
+from .tokens import lots, mixed, windows, words
 
 #: Classes under one shingle up to which all pairs are made.
 LONG = 64
@@ -126,10 +127,8 @@ def bit_array(values: DataFrame, name: str) -> np.ndarray:
     return out
 
 
-def _in_lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for low in range(0, b.num_rows, LOT):
-            yield b.slice(low, LOT)
+def _in_lots(batches: Iterator[pa.RecordBatch], at: int = 0) -> Iterator[pa.RecordBatch]:
+    return lots(batches, at, rows=LOT)
 
 
 def summaries(docs: DataFrame, k: int, text: str, key: str) -> DataFrame:
@@ -152,7 +151,7 @@ def summaries(docs: DataFrame, k: int, text: str, key: str) -> DataFrame:
             token, count = all_of_them[start][count > 1], count[count > 1]
             return pa.RecordBatch.from_arrays([pa.nulls(len(token), id_type), pa.array(count.astype(np.int64)), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64))], names)
 
-        for b in _in_lots(batches):
+        for b in _in_lots(batches, 1):
             id_type = b.column(0).type
             owner, x = shingle_sets(b.column(1), k)
             n, cls = class_hashes(owner, x, b.num_rows)
@@ -202,7 +201,7 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch], long: int = LONG) -> Itera
     """Sorted (t, n, cls, p) -> (kind, a, b, n, p); runs of over ``long`` classes are long.
 
     kind 1, 2: a pair of classes that meet under order 1 or 2; 3: an entry (t, class)
-    of a long run of order 1; 4: a class in a long run of order 2.
+    of a long run of order 1; 4: one of order 2.
     """
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
@@ -214,8 +213,7 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch], long: int = LONG) -> Itera
         if one.any():
             yield rows(3, t[one], c[one], n[one], p[one])
         if not one.all():
-            two = np.unique(c[~one])
-            yield rows(4, two, two)
+            yield rows(4, t[~one], c[~one], n[~one], p[~one])
 
     def done(t: np.ndarray, n: np.ndarray, c: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Whole runs."""
@@ -298,17 +296,17 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, text: str) -> DataFrame:
 
     sets = docs.select(F.col(text)).mapInArrow(run, "cls long, set binary")
 
+    # Both ends of a pair are in one component, so the place of one tells that of the other.
     roots = components(pairs)
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     n_nodes = roots.count()
-    placed = join_skewed(roots, sizes, ["root"], "size", n_nodes)
-    placed = stored(placed.select("node", "root", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).alias("block")), "blocks")
-    degree = ends.groupBy(F.col("cls").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    placed = stored(placed.join(degree, "node"), "placed")
-    of_a = join_skewed(pairs.withColumn("node", F.col("a")), placed, ["node"], "n", 2 * total).select("a", "b", "root", F.col("block").alias("i"))
-    of_b = join_skewed(of_a.withColumn("node", F.col("b")), placed.drop("root"), ["node"], "n", 2 * total)
-    lots = max(1, total // 1000)
-    task = F.pmod(F.xxhash64("root", F.least("i", "block"), F.greatest("i", "block")), F.lit(lots))
+    placed = stored(join_skewed(roots, sizes, ["root"], "size", n_nodes).select(F.col("node").alias("a"), "root", F.ceil(F.col("size") / BLOCK).alias("blocks")), "blocks")
+    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    placed = stored(placed.join(degree, "a"), "placed")
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    of_b = join_skewed(pairs, placed, ["a"], "n", total).select("a", "b", "root", block("a").alias("i"), block("b").alias("block"))
+    n_lots = max(1, total // 1000)
+    task = F.pmod(F.xxhash64("root", F.least("i", "block"), F.greatest("i", "block")), F.lit(n_lots))
     dealt = stored(of_b.select(task.alias("task"), "a", "b"), "dealt")
     members = dealt.select(F.col("task").alias("to"), F.explode(F.array("a", "b")).alias("cls")).distinct()
     once = sets.groupBy("cls").agg(F.first("set").alias("set"))
@@ -348,13 +346,35 @@ def _unjoined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _outsiders(entries: DataFrame, roots: DataFrame, total: int) -> DataFrame:
-    """Pairs of classes of long runs that no links join yet: those outside a run's main component with all others."""
+    """Pairs of classes of long runs that no links join yet: those outside a run's main component with all others.
+
+    A run is compared in blocks of ``BLOCK`` by ``BLOCK`` classes.
+    """
     placed = stored(entries.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "long-placed")
     by_root = placed.groupBy("t", "root").agg(F.count(F.lit(1)).alias("c"))
     main = by_root.groupBy("t").agg(F.max(F.struct("c", "root")).alias("x"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    active = stored(join_skewed(placed, main.select("t", F.col("x.root").alias("main"), "size"), ["t"], "size", total), "long-active")
-    outside = active.where("root <> main").select("t", F.col("cls").alias("lead"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("of"))
-    return active.join(outside.hint("merge"), "t").where(_FITS).where("root <> of").select(*_ordered("cls", "lead")).distinct()
+    main = main.select("t", F.col("x.root").alias("main"), "size", F.ceil(F.col("size") / BLOCK).alias("rows"), F.ceil((F.col("size") - F.col("x.c")) / BLOCK).alias("cols"))
+    active = stored(join_skewed(placed, main, ["t"], "size", total), "long-active")
+    block = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    outside = active.where("root <> main").select("t", block("cols").alias("j"), each("rows").alias("i"), F.col("cls").alias("lead"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("of"))
+    inside = active.select("t", block("rows").alias("i"), each("cols").alias("j"), "cls", "n", "p", "root", "main")
+    # Of two outsiders, one way round is enough.
+    met = inside.join(outside.hint("merge"), ["t", "i", "j"]).where(_FITS).where("root <> of and (root = main or cls < lead)")
+    return met.select(*_ordered("cls", "lead")).distinct()
+
+
+def _meeting_again(pairs: DataFrame, short: DataFrame, long: DataFrame) -> DataFrame:
+    """The pairs that meet under the second order too: in short runs (pairs a, b), or by shingles (cls, ts) in long runs."""
+    pairs = stored(pairs, "once-met")
+    total = pairs.count()
+    both = pairs
+    for side in ("a", "b"):
+        degree = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("degree"))
+        keys = long.select(F.col("cls").alias(side), F.col("ts").alias(f"ts_{side}")).join(degree, side)
+        both = join_skewed(both, keys, [side], "degree", total).drop("degree")
+    both = both.where(F.arrays_overlap("ts_a", "ts_b")).select("a", "b")
+    return pairs.join(short, ["a", "b"], "left_semi").unionByName(both).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, text: str = "text", key: str = "doc_id", long: int = LONG, shared: int = SHARED) -> tuple[DataFrame, DataFrame]:
@@ -363,6 +383,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, text: str = "text", key: str =
     component_id is the smallest id that links reach; of classes that the links of
     long runs join, only those links are listed, all others are complete.
     """
+    bounded_batches(docs.sparkSession)
     seen = stored(summaries(docs, k, text, key), "summaries")
     often = stored(seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= shared), "often")
     bands = [bit_array(often.where(F.col("n") >= shared * x), "token") for x in BANDS]
@@ -372,26 +393,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, text: str = "text", key: str =
         return stored(runs.mapInArrow(lambda batches: _pairs_of_runs(batches, long), "kind int, a long, b long, n long, p long"), "met")
 
     met = meetings(0, None)
-    paired = met.where("kind = 1").select(F.explode(F.array("a", "b")).alias("cls"))
-    met = met.unionByName(meetings(1, bit_array(paired, "cls")))
-    meets = met.where("kind <= 2").groupBy("a", "b").agg(F.bit_or("kind").alias("orders")).where(F.col("orders").bitwiseAND(F.lit(1)) == 1)
-    # A pair that meets under order 2 in a long run is not listed there, but both its classes are.
-    long2 = met.where("kind = 4").select(F.col("a").alias("x")).distinct()
-    one = meets.where("orders = 1")
-    one = one.join(long2, one["a"] == long2["x"], "left_semi")
-    one = one.join(long2, one["b"] == long2["x"], "left_semi")
-    pairs = meets.where("orders = 3").select("a", "b").unionByName(one.select("a", "b"))
+    one = met.where("kind = 1").select("a", "b").distinct()
     entries = met.where("kind = 3").select(F.col("a").alias("t"), F.col("b").alias("cls"), "n", "p").distinct()
     weight = entries.groupBy("cls").agg(F.count(F.lit(1)).alias("w"))
+    again = meetings(1, bit_array(one.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(entries.select("cls")), "cls"))
+    two = stored(again.where("kind = 2").select("a", "b").distinct(), "second-pairs")
+    # The shingles of a class's second prefix that are in long runs, at most its prefix.
+    long2 = stored(again.where("kind = 4").groupBy(F.col("b").alias("cls")).agg(F.collect_set("a").alias("ts")), "second-entries")
+    pairs = _meeting_again(one, two, long2)
     entries = stored(entries, "long-entries")
     total = entries.count()
     if total:
         entries = stored(join_skewed(entries, weight, ["cls"], "w", total), "long-runs")
-        links = verify(docs, _stars(entries, total), k, text)
+        links = verify(docs, _meeting_again(_stars(entries, total), two, long2), k, text)
         roots = stored(components(links), "star-roots")
         links = stored(links.unionByName(verify(docs, _unjoined(pairs, roots), k, text)), "links")
         rest = _outsiders(entries, stored(components(links), "roots"), total)
-        links = stored(links.unionByName(verify(docs, rest, k, text)), "links")
+        links = stored(links.unionByName(verify(docs, _meeting_again(rest, two, long2), k, text)), "links")
     else:
         links = verify(docs, pairs, k, text)
 
