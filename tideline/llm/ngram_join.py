@@ -16,13 +16,14 @@ pair also needs 9 * min(n - p, m - q) >= 4 * (n + m) at some place where it meet
 3. Prefixes are dealt by shingle and sorted.  A shingle with up to ``LONG``
    classes gives all pairs of classes of fitting size, which is linear in the
    number of prefix entries.  The second order's prefixes are made only of classes
-   that form pairs, or are in longer runs, under the first; a pair goes on only if it
-   meets there too, in a short run or by a shingle of a longer one.
+   that form pairs, or are in longer runs, under the first.  A pair goes on only if its
+   prefixes share, under either order, as many shingles as a Jaccard of 0.8 needs.
 4. A shingle with more classes (a large group of near copies) gives no pairs at
    first: its classes are compared with one of them, the one that holds most of
    such shingles, before any pair of step 3.  Then only classes outside the main
-   component are compared with those of other components, in blocks.  Pairs inside one
-   component, of step 3 too, are never needed.  Classes unlike the leader whose
+   component are compared with those of other components, in blocks: of these, first
+   each class's nearest pair is verified, then those that no links join yet.  Pairs
+   inside one component, of step 3 too, are never needed.  Classes unlike the leader whose
    shingles of their own are few still cost the square of their number in a run.
 5. Candidates are verified on their whole sets.  Sets travel once to each block
    of their candidate component, at most 2 * BLOCK sets a block.
@@ -165,55 +166,72 @@ def summaries(docs: DataFrame, k: int, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"id {kind}, n long, cls long, token long")
 
 
-def prefixes(docs: DataFrame, shared: list[np.ndarray], k: int, text: str, order: int, wanted: np.ndarray | None = None) -> DataFrame:
-    """(t, cls, n, p): the prefix of each class under an order, p being a shingle's place; the lowest bit of t tells the order.
-
-    ``wanted``: only classes with a bit there.
-    """
-    bits = docs.sparkSession.sparkContext.broadcast((shared, wanted))
+def _prefixes_of(col: pa.Array, k: int, bands: list[np.ndarray], only: np.ndarray | None, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Sizes and classes of a lot's texts, which of them are taken, and for each order (shingle, text, place) of their prefixes, in order."""
+    owner, x = shingle_sets(col, k)
+    n, cls = class_hashes(owner, x, len(col))
+    taken = first_of_each(cls, n)
+    if only is not None:
+        taken &= has_bit(only, cls)
+    keep = taken[owner]
+    owner, x = owner[keep], x[keep]
+    band = np.sum([has_bit(v, x) for v in bands], axis=0).astype(np.uint64)
+    start = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(col)))])
+    size = n - (4 * n + 4) // 5 + 1
+    low = np.uint64(TOKEN_BITS - 2)
+    out = []
+    for order in orders:
+        t = mixed(x + _SALT[order])
+        at = np.argsort((owner.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (band << low) | (t >> (np.uint64(64) - low)))
+        rank = np.arange(len(x)) - start[owner]
+        inside = rank < size[owner]  # the sort keeps texts together, so ranks are theirs
+        at, rank, own = at[inside], rank[inside], owner[inside]
+        out.append((t[at] & ~np.uint64(1) | np.uint64(order), own, rank))
+    return n, cls, taken, out
+
+
+def prefixes(docs: DataFrame, shared: list[np.ndarray], k: int, text: str, order: int = 0) -> DataFrame:
+    """(t, cls, n, p): the prefix of each class under an order, p being a shingle's place; the lowest bit of t tells the order."""
+    bits = docs.sparkSession.sparkContext.broadcast((shared, None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, only = bits.value
         for b in _in_lots(batches):
-            owner, x = shingle_sets(b.column(0), k)
-            n, cls = class_hashes(owner, x, b.num_rows)
-            keep = first_of_each(cls, n)
-            if only is not None:
-                keep &= has_bit(only, cls)
-            keep = keep[owner]
-            owner, x = owner[keep], x[keep]
-            band = np.sum([has_bit(v, x) for v in bands], axis=0).astype(np.uint64)
-            start = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b.num_rows))])
-            size = n - (4 * n + 4) // 5 + 1
-            t = mixed(x + _SALT[order])
-            low = np.uint64(TOKEN_BITS - 2)
-            at = np.argsort((owner.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (band << low) | (t >> (np.uint64(64) - low)))
-            rank = np.arange(len(x)) - start[owner]
-            inside = rank < size[owner]  # the sort keeps texts together, so ranks are theirs
-            at, rank, own = at[inside], rank[inside], owner[inside]
-            t = t[at] & ~np.uint64(1) | np.uint64(order)
+            n, cls, _, ((t, own, rank),) = _prefixes_of(b.column(0), k, bands, only, (order,))
             yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(cls[own].view(np.int64)), pa.array(n[own].astype(np.int64)), pa.array(rank.astype(np.int64))], ["t", "cls", "n", "p"])
 
     return docs.select(F.col(text)).mapInArrow(run, "t long, cls long, n long, p long")
 
 
+def prefix_sets(docs: DataFrame, shared: list[np.ndarray], k: int, text: str, wanted: np.ndarray) -> DataFrame:
+    """(cls, x, y): the prefixes of each class with a bit in ``wanted``, in order, under the first and the second order."""
+    bits = docs.sparkSession.sparkContext.broadcast((shared, wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, only = bits.value
+        for b in _in_lots(batches):
+            n, cls, keep, found = _prefixes_of(b.column(0), k, bands, only, (0, 1))
+            lists = []
+            for order, (t, own, _) in enumerate(found):
+                ends = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=b.num_rows)[keep])])
+                lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(t.view(np.int64))))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[keep].view(np.int64)), *lists], ["cls", "x", "y"])
+
+    found = docs.select(F.col(text)).mapInArrow(run, "cls long, x array<long>, y array<long>")
+    return found.groupBy("cls").agg(F.first("x").alias("x"), F.first("y").alias("y"))
+
+
 def _pairs_of_runs(batches: Iterator[pa.RecordBatch], long: int = LONG) -> Iterator[pa.RecordBatch]:
-    """Sorted (t, n, cls, p) -> (kind, a, b, n, p); runs of over ``long`` classes are long.
+    """Sorted (t, n, cls, p) -> (kind, a, b, n, p, m); runs of over ``long`` classes are long.
 
-    kind 1, 2: a pair of classes that meet under order 1 or 2; 3: an entry (t, class)
-    of a long run of order 1; 4: one of order 2.
+    kind 1: a pair of classes that meet, with their sizes n and m; 3: an entry (t, class) of a long run.
     """
 
-    def rows(kind: int, a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
-        n, p = more or (np.zeros(len(a), np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n), pa.array(p)], ["kind", "a", "b", "n", "p"])
+    def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, p: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(v) for v in (a, b, n, p, m))], ["kind", "a", "b", "n", "p", "m"])
 
     def long_rows(t: np.ndarray, n: np.ndarray, c: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
-        one = (t & 1) == 0
-        if one.any():
-            yield rows(3, t[one], c[one], n[one], p[one])
-        if not one.all():
-            yield rows(4, t[~one], c[~one], n[~one], p[~one])
+        yield rows(3, t, c, n, p, n)
 
     def done(t: np.ndarray, n: np.ndarray, c: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Whole runs."""
@@ -224,7 +242,7 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch], long: int = LONG) -> Itera
         many = np.repeat(size > long, size)
         if many.any():
             yield from long_rows(t[many], n[many], c[many], p[many])
-        found: dict[int, list[np.ndarray]] = {0: [], 1: []}
+        found: list[np.ndarray] = []
         for s in range(2, long + 1):
             at = start[size == s]
             if not len(at):
@@ -236,18 +254,17 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch], long: int = LONG) -> Itera
                 fits = 5 * n[a] >= 4 * n[b]  # n rises within a run
                 fits &= 9 * np.minimum(n[a] - p[a], n[b] - p[b]) >= 4 * (n[a] + n[b])
                 a, b = a[fits], b[fits]
-                for k in (0, 1):
-                    own = (t[a] & 1) == k
-                    found[k].append(np.stack([np.minimum(c[a[own]], c[b[own]]), np.maximum(c[a[own]], c[b[own]])]))
-        for k in (0, 1):
-            if found[k]:
-                a, b = np.concatenate(found[k], axis=1)
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
-                new = np.ones(len(a), bool)
-                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-                if new.any():
-                    yield rows(k + 1, a[new], b[new])
+                turn = c[a] > c[b]
+                a, b = np.where(turn, b, a), np.where(turn, a, b)
+                found.append(np.stack([c[a], c[b], n[a], n[b]]))
+        if found:
+            a, b, na, nb = np.concatenate(found, axis=1)
+            order = np.lexsort((b, a))
+            a, b, na, nb = a[order], b[order], na[order], nb[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            if new.any():
+                yield rows(1, a[new], b[new], na[new], np.zeros(int(new.sum()), np.int64), nb[new])
 
     none = np.zeros(0, np.int64)
     t = n = c = p = none
@@ -283,8 +300,8 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, text: str) -> DataFrame:
     total = pairs.count()
     if not total:
         return pairs
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
-    wanted = spark.sparkContext.broadcast(bit_array(ends, "cls"))
+    roots = components(pairs)
+    wanted = spark.sparkContext.broadcast(bit_array(roots, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _in_lots(batches):
@@ -297,7 +314,6 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, text: str) -> DataFrame:
     sets = docs.select(F.col(text)).mapInArrow(run, "cls long, set binary")
 
     # Both ends of a pair are in one component, so the place of one tells that of the other.
-    roots = components(pairs)
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     n_nodes = roots.count()
     placed = stored(join_skewed(roots, sizes, ["root"], "size", n_nodes).select(F.col("node").alias("a"), "root", F.ceil(F.col("size") / BLOCK).alias("blocks")), "blocks")
@@ -308,7 +324,7 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, text: str) -> DataFrame:
     n_lots = max(1, total // 1000)
     task = F.pmod(F.xxhash64("root", F.least("i", "block"), F.greatest("i", "block")), F.lit(n_lots))
     dealt = stored(of_b.select(task.alias("task"), "a", "b"), "dealt")
-    members = dealt.select(F.col("task").alias("to"), F.explode(F.array("a", "b")).alias("cls")).distinct()
+    members = dealt.select(F.col("task").alias("to"), F.col("a").alias("cls")).unionByName(dealt.select(F.col("task").alias("to"), F.col("b").alias("cls"))).distinct()
     once = sets.groupBy("cls").agg(F.first("set").alias("set"))
     sent = members.join(once, "cls").select("to", "cls", "set")
 
@@ -324,18 +340,28 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, text: str) -> DataFrame:
     return stored(dealt.groupBy("task").cogroup(sent.groupBy("to")).applyInArrow(compare, "a long, b long"), "links")
 
 
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _ordered(a: str, b: str, n: str, m: str) -> list:
+    turn = F.col(a) > F.col(b)
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(turn, F.col(m)).otherwise(F.col(n)).alias("n"), F.when(turn, F.col(n)).otherwise(F.col(m)).alias("m")]
 
 
 _FITS = "5 * n >= 4 * m and 5 * m >= 4 * n and 9 * least(n - p, m - q) >= 4 * (n + m) and cls <> lead"
 
 
+def _meet(one: str, two: str) -> str:
+    """Whether prefixes ``one`` and ``two`` of sets of n and m shingles share as many as a Jaccard of 0.8 asks for.
+
+    All shingles that come up to the end of the prefix that ends first are in both or in
+    none, so the sets share at most these and what one of them has beyond its prefix.
+    """
+    return f"9 * (size(array_intersect({one}, {two})) + greatest(n - size({one}), m - size({two}))) >= 4 * (n + m)"
+
+
 def _stars(entries: DataFrame, total: int) -> DataFrame:
     """Pairs of each class of a long run with the run's class that is in most long runs: entries(t, cls, n, p, w)."""
     lead = entries.groupBy("t").agg(F.max(F.struct("w", "n", "cls", "p")).alias("x"), F.count(F.lit(1)).alias("size"))
     lead = lead.select("t", F.col("x.cls").alias("lead"), F.col("x.n").alias("m"), F.col("x.p").alias("q"), "size")
-    return join_skewed(entries, lead, ["t"], "size", total).where(_FITS).select(*_ordered("cls", "lead")).distinct()
+    return join_skewed(entries, lead, ["t"], "size", total).where(_FITS).select(*_ordered("cls", "lead", "n", "m")).distinct()
 
 
 def _unjoined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -345,36 +371,42 @@ def _unjoined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return known.where("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
 
 
-def _outsiders(entries: DataFrame, roots: DataFrame, total: int) -> DataFrame:
+def _outsiders(entries: DataFrame, roots: DataFrame, sets: DataFrame, total: int) -> DataFrame:
     """Pairs of classes of long runs that no links join yet: those outside a run's main component with all others.
 
-    A run is compared in blocks of ``BLOCK`` by ``BLOCK`` classes.
+    A run is compared in blocks of ``BLOCK`` by ``BLOCK`` classes.  A pair is made where
+    it first meets, if it meets under both orders often enough; pairs that first meet in
+    a short run are among that run's.
     """
     placed = stored(entries.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "long-placed")
     by_root = placed.groupBy("t", "root").agg(F.count(F.lit(1)).alias("c"))
     main = by_root.groupBy("t").agg(F.max(F.struct("c", "root")).alias("x"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     main = main.select("t", F.col("x.root").alias("main"), "size", F.ceil(F.col("size") / BLOCK).alias("rows"), F.ceil((F.col("size") - F.col("x.c")) / BLOCK).alias("cols"))
-    active = stored(join_skewed(placed, main, ["t"], "size", total), "long-active")
+    active = stored(join_skewed(placed, main, ["t"], "size", total).join(sets, "cls"), "long-active")
     block = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    outside = active.where("root <> main").select("t", block("cols").alias("j"), each("rows").alias("i"), F.col("cls").alias("lead"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("of"))
-    inside = active.select("t", block("rows").alias("i"), each("cols").alias("j"), "cls", "n", "p", "root", "main")
+    renamed = [F.col(c).alias(d) for c, d in (("cls", "lead"), ("n", "m"), ("p", "q"), ("root", "of"), ("x", "x2"), ("y", "y2"))]
+    outside = active.where("root <> main").select("t", block("cols").alias("j"), each("rows").alias("i"), *renamed)
+    inside = active.select("t", block("rows").alias("i"), each("cols").alias("j"), "cls", "n", "p", "root", "main", "x", "y")
     # Of two outsiders, one way round is enough.
-    met = inside.join(outside.hint("merge"), ["t", "i", "j"]).where(_FITS).where("root <> of and (root = main or cls < lead)")
-    return met.select(*_ordered("cls", "lead")).distinct()
+    fits = f"{_FITS} and root <> of and (root = main or cls < lead) and array_intersect(x, x2)[0] = inside.t and {_meet('x', 'x2')} and {_meet('y', 'y2')}"
+    on = "inside.t = outside.t and inside.i = outside.i and inside.j = outside.j"
+    met = inside.alias("inside").join(outside.hint("merge").alias("outside"), F.expr(f"{on} and {fits}"))
+    return met.select(*_ordered("cls", "lead", "n", "m")[:2], F.size(F.array_intersect("x", "x2")).alias("c"))
 
 
-def _meeting_again(pairs: DataFrame, short: DataFrame, long: DataFrame) -> DataFrame:
-    """The pairs that meet under the second order too: in short runs (pairs a, b), or by shingles (cls, ts) in long runs."""
-    pairs = stored(pairs, "once-met")
-    total = pairs.count()
-    both = pairs
-    for side in ("a", "b"):
-        degree = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("degree"))
-        keys = long.select(F.col("cls").alias(side), F.col("ts").alias(f"ts_{side}")).join(degree, side)
-        both = join_skewed(both, keys, [side], "degree", total).drop("degree")
-    both = both.where(F.arrays_overlap("ts_a", "ts_b")).select("a", "b")
-    return pairs.join(short, ["a", "b"], "left_semi").unionByName(both).distinct()
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """For each class the pair that shares most: pairs(a, b, c)."""
+    ends = pairs.select("a", "b", F.struct("c", "a", "b").alias("s"))
+    best = ends.select(F.col("a").alias("cls"), "s").unionByName(ends.select(F.col("b").alias("cls"), "s")).groupBy("cls").agg(F.max("s").alias("s"))
+    return best.select("s.a", "s.b").distinct()
+
+
+def _meeting_twice(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs(a, b, n, m), those that meet often enough under both orders."""
+    of_a, of_b = (sets.select(F.col("cls").alias(c), F.col("x").alias(f"x_{c}"), F.col("y").alias(f"y_{c}")) for c in "ab")
+    both = pairs.join(of_a, "a").join(of_b, "b").where(f"{_meet('x_a', 'x_b')} and {_meet('y_a', 'y_b')}")
+    return both.select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, text: str = "text", key: str = "doc_id", long: int = LONG, shared: int = SHARED) -> tuple[DataFrame, DataFrame]:
@@ -388,28 +420,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, text: str = "text", key: str =
     often = stored(seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= shared), "often")
     bands = [bit_array(often.where(F.col("n") >= shared * x), "token") for x in BANDS]
 
-    def meetings(order: int, wanted: np.ndarray | None) -> DataFrame:
-        runs = prefixes(docs, bands, k, text, order, wanted).repartition("t").sortWithinPartitions("t", "n", "cls").select("t", "n", "cls", "p")
-        return stored(runs.mapInArrow(lambda batches: _pairs_of_runs(batches, long), "kind int, a long, b long, n long, p long"), "met")
-
-    met = meetings(0, None)
-    one = met.where("kind = 1").select("a", "b").distinct()
+    runs = prefixes(docs, bands, k, text).repartition("t").sortWithinPartitions("t", "n", "cls").select("t", "n", "cls", "p")
+    met = stored(runs.mapInArrow(lambda batches: _pairs_of_runs(batches, long), "kind int, a long, b long, n long, p long, m long"), "met")
+    one = met.where("kind = 1").select("a", "b", "n", "m").distinct()
     entries = met.where("kind = 3").select(F.col("a").alias("t"), F.col("b").alias("cls"), "n", "p").distinct()
     weight = entries.groupBy("cls").agg(F.count(F.lit(1)).alias("w"))
-    again = meetings(1, bit_array(one.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(entries.select("cls")), "cls"))
-    two = stored(again.where("kind = 2").select("a", "b").distinct(), "second-pairs")
-    # The shingles of a class's second prefix that are in long runs, at most its prefix.
-    long2 = stored(again.where("kind = 4").groupBy(F.col("b").alias("cls")).agg(F.collect_set("a").alias("ts")), "second-entries")
-    pairs = _meeting_again(one, two, long2)
+    wanted = bit_array(one.select(F.col("a").alias("cls")).union(one.select("b")).union(entries.select("cls")), "cls")
+    sets = stored(prefix_sets(docs, bands, k, text, wanted), "prefix-sets")
+    pairs = stored(_meeting_twice(one, sets), "twice-met")
     entries = stored(entries, "long-entries")
     total = entries.count()
     if total:
         entries = stored(join_skewed(entries, weight, ["cls"], "w", total), "long-runs")
-        links = verify(docs, _meeting_again(_stars(entries, total), two, long2), k, text)
+        links = verify(docs, _meeting_twice(_stars(entries, total), sets), k, text)
         roots = stored(components(links), "star-roots")
-        links = stored(links.unionByName(verify(docs, _unjoined(pairs, roots), k, text)), "links")
-        rest = _outsiders(entries, stored(components(links), "roots"), total)
-        links = stored(links.unionByName(verify(docs, _meeting_again(rest, two, long2), k, text)), "links")
+        rest = stored(_outsiders(entries, roots, sets, total), "outsiders")
+        links = stored(links.unionByName(verify(docs, _unjoined(pairs, roots).unionByName(_nearest(rest)).distinct(), k, text)), "links")
+        links = stored(links.unionByName(verify(docs, _unjoined(rest, stored(components(links), "roots")), k, text)), "links")
     else:
         links = verify(docs, pairs, k, text)
 
