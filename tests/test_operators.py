@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import destriper, filters, flagging, intervals, mapping, pointing, sequences, simulate
+from tideline.operators import destriper, filters, flagging, intervals, mapping, pointing, regress, sequences, simulate
 from tideline.operators.templates import Offset, SubHarmonic
 from tideline.plans import catalog, config
 from tideline.sources import volume
@@ -26,16 +26,16 @@ def test_poly_and_ground_and_hwp_filters_remove_what_they_model(spark):
     az, hwp = 20 * np.sin(np.arange(n) / 15), np.arange(n) * 0.4
     flags = np.where(np.arange(n) % 50 == 3, 1, 0)
     spike = np.where(flags, 100.0, 0.0)
-    out = signal(sequences.poly_filter(frame(spark, 3 + 2 * x - x**3 + spike, flags), 3))
+    out = signal(regress.poly_filter(frame(spark, 3 + 2 * x - x**3 + spike, flags), 3))
     assert np.abs(out[flags == 0]).max() < 1e-9
     out = signal(filters.poly_filter(frame(spark, 3 + 2 * x + spike, flags), 1))
     assert np.abs(out[flags == 0]).max() < 1e-9
-    out = signal(sequences.ground_filter(frame(spark, 0.1 * az**2 + x + spike, flags, az=az), 3, 3, detrend=True))
+    out = signal(regress.ground_filter(frame(spark, 0.1 * az**2 + x + spike, flags, az=az), 3, 3, detrend=True))
     assert np.abs(out[flags == 0]).max() < 1e-6
-    out = signal(sequences.hwp_filter(frame(spark, np.cos(2 * hwp) + x + spike, flags, hwp=hwp), "hwp", 2, 3, detrend=True))
+    out = signal(regress.hwp_filter(frame(spark, np.cos(2 * hwp) + x + spike, flags, hwp=hwp), "hwp", 2, 3, detrend=True))
     assert np.abs(out[flags == 0]).max() < 1e-8
     whole = 2 * np.pi * 25 * np.arange(n) / n  # whole turns, over which harmonics have no mean
-    model = sequences.hwpss_model(frame(spark, 5 + 0.3 * np.cos(2 * whole), hwp=whole), "hwp", 3)
+    model = regress.hwpss_model(frame(spark, 5 + 0.3 * np.cos(2 * whole), hwp=whole), "hwp", 3)
     assert np.abs(signal(model)).max() < 1e-8 and abs(model.first().relcal - 0.3) < 1e-8
 
 

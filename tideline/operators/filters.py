@@ -39,13 +39,13 @@ def detrend(df: DataFrame, method: str = "linear", edge: int = 10, keys: Sequenc
 
 
 def poly_filter(df: DataFrame, order: int, keys: Sequence[str] = ("det",), mask: int = 7) -> DataFrame:
-    """Orders 0 and 1 as regressions over a window; higher orders are in ``sequences``."""
+    """Orders 0 and 1 as regressions over a window; higher orders are in ``regress``."""
     own = W.partitionBy(*keys)
     x = _when(mask, "signal")
     if order == 0:
         return df.withColumn("signal", F.col("signal") - F.coalesce(F.avg(x).over(own), F.lit(0.0)))
     if order != 1:
-        from .sequences import poly_filter as general
+        from .regress import poly_filter as general
 
         return general(df, order, keys, mask)
     n = F.count(F.lit(1)).over(own)

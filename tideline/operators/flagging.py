@@ -68,19 +68,28 @@ def all_flagged(df: DataFrame, mask: int = 7) -> DataFrame:
     return df.groupBy("det").agg(F.sum(F.when(good(mask=mask), 1).otherwise(0)).alias("n")).where("n = 0").select("det")
 
 
+def _median_and_spread(stats: DataFrame, column: str) -> tuple[float, float] | None:
+    got = stats.agg(F.median(column), F.stddev_pop(column)).first()
+    return None if got[0] is None else (float(got[0]), float(got[1]))
+
+
 def clip_pass(stats: DataFrame, column: str, limit: float) -> DataFrame:
-    """One pass of sigma clipping over detectors: rows further than limit * std from the median go."""
-    return stats.crossJoin(F.broadcast(stats.agg(F.median(column).alias("__m"), F.stddev_pop(column).alias("__s")))).where(F.abs(F.col(column) - F.col("__m")) <= limit * F.col("__s")).drop("__m", "__s")
+    """One pass of sigma clipping over detectors: rows further than limit * std from the median go, and those without a value."""
+    found = _median_and_spread(stats, column)
+    return stats.where(F.lit(False)) if found is None else stats.where(F.abs(F.col(column) - found[0]) <= limit * found[1])
+
 
+def clip(stats: DataFrame, columns: Sequence[str], limit: float = 3.0) -> DataFrame:
+    """Passes over each column in turn until nothing more goes.
+
+    ``stats`` is written once, one row per detector; each pass reads two numbers of it
+    and adds a filter, so the plan grows by one condition a pass.
+    """
+    from .destriper import kept
 
-def clip(stats: DataFrame, columns: Sequence[str], limit: float = 3.0, most: int = 100) -> DataFrame:
-    """Passes over each column in turn until nothing more goes; one row per detector, so each pass is small."""
+    stats = kept(stats, "clip")
     for c in columns:
-        n = stats.count()
-        for _ in range(most):
+        n = None
+        while n != (n := stats.count()):
             stats = clip_pass(stats, c, limit)
-            m = stats.count()
-            if m == n:
-                break
-            n = m
     return stats

@@ -157,3 +157,19 @@ def compare_maps(a: DataFrame, b: DataFrame, column: str = "m0") -> DataFrame:
 def degrade_map(m: DataFrame, shift: int, columns: Sequence[str] = ("m0",)) -> DataFrame:
     """Means over nested pixels, 4 ** shift to one."""
     return m.groupBy(F.shiftright("pixel", 2 * shift).alias("pixel")).agg(*[F.avg(c).alias(c) for c in columns])
+
+
+def mean_filter_matrix(df: DataFrame, mask: int = 7) -> DataFrame:
+    """Pixel by pixel, (row, col, val): what taking each detector's mean off does to a binned map.
+
+    Only pairs of pixels that one detector hits appear, from its hits by pixel.
+    """
+    s = df.where(good(mask=mask))
+    hits = s.groupBy("det", "pixel").agg(F.count(F.lit(1)).alias("h"))
+    n = hits.groupBy("det").agg(F.sum("h").alias("n"))
+    total = hits.groupBy("pixel").agg(F.sum("h").alias("t"))
+    pairs = hits.join(n, "det").join(hits.select("det", F.col("pixel").alias("col"), F.col("h").alias("g")), "det")
+    off = pairs.groupBy(F.col("pixel").alias("row"), "col").agg(F.sum(-F.col("h") * F.col("g") / F.col("n")).alias("val"))
+    one = total.select(F.col("pixel").alias("row"), F.col("pixel").alias("col"), F.col("t").cast("double").alias("val"))
+    both = off.unionByName(one).groupBy("row", "col").agg(F.sum("val").alias("val"))
+    return both.join(total.withColumnRenamed("pixel", "row"), "row").select("row", "col", (F.col("val") / F.col("t")).alias("val"))

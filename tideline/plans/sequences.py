@@ -1,16 +1,15 @@
-"""Queries of operators on whole sequences and of iterative solvers; these have no SQL form."""
+"""Queries of operators on whole sequences, of simulations and of iterative solvers, with SQL where that can express them."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from ..operators import destriper, flagging, mapping, pointing, sequences, simulate
+from ..operators import destriper, flagging, mapping, pointing, regress, sequences, simulate
 from ..operators.templates import Fourier2D, Gain, Offset
 from ..sources import streams as S
-from . import catalog
-from .catalog import query
+from . import catalog, sqltext
+from .catalog import GOOD, query, r, rounded
 
 RATE = 10.0
 
@@ -19,24 +18,39 @@ def _stream(spark, d):  # noqa: ANN001, ANN202
     return S.event_stream(spark, d).select("det", "i", "t", "signal", "flags", "pixel", "az", "wq", "wu")
 
 
-@query("poly_filter_n")
+def _shown(df, *more):  # noqa: ANN001, ANN002, ANN202
+    return df.withColumns(rounded("signal", *more)).select("det", "i", "signal", "flags", *more)
+
+
+_FLAGGED = "case when c0 is null then flags | 1 else flags end as flags"
+
+
+@query("poly_filter_n", sqltext.PLACED + sqltext.fit("u", sqltext.legendre("x", 3)) + f"select det, i, {r('signal - ' + sqltext.model(range(4)), 'signal')}, {_FLAGGED} from v left join c using (det)")
 def _(spark, d):
-    return sequences.poly_filter(_stream(spark, d), 3)
+    return _shown(regress.poly_filter(_stream(spark, d), 3))
 
 
-@query("ground_filter")
+_AZ = "(az - min(az) over (partition by det)) / (max(az) over (partition by det) - min(az) over (partition by det)) * 2 - 1"
+
+
+@query("ground_filter", sqltext.PLACED + f", w as (select *, {_AZ} as phase from u)" + sqltext.fit("w", [*sqltext.legendre("x", 2)[1:], *sqltext.legendre("phase", 3)])
+       + f"select det, i, {r('signal - ' + sqltext.model(range(2, 6)), 'signal')}, flags from v left join c using (det)")
 def _(spark, d):
-    return sequences.ground_filter(_stream(spark, d), 2, 3)
+    return _shown(regress.ground_filter(_stream(spark, d), 2, 3))
 
 
-@query("hwp_filter")
+@query("hwp_filter", sqltext.PLACED + sqltext.fit("u", [*sqltext.legendre("x", 1), *sqltext.harmonics("radians(az)", 2)])
+       + f"select det, i, {r('signal - ' + sqltext.model(range(2, 6)), 'signal')}, flags from v left join c using (det)")
 def _(spark, d):
-    return sequences.hwp_filter(_stream(spark, d).withColumn("hwp", F.radians("az")), "hwp", 1, 2)
+    return _shown(regress.hwp_filter(_stream(spark, d).withColumn("hwp", F.radians("az")), "hwp", 1, 2))
 
 
-@query("hwp_synchronous_model")
+@query("hwp_synchronous_model", f", u as (select *, signal - avg(case when {GOOD} then signal end) over (partition by det) as y from s0)"
+       + sqltext.fit("u", sqltext.harmonics("radians(az)", 3), value="y")
+       + f"""select det, i, {r('case when least_pivot >= 1e-8 then y - ' + sqltext.model(range(6)) + ' else signal end', 'signal')},
+       case when least_pivot >= 1e-8 then flags else flags | 1 end as flags, {r("case when least_pivot >= 1e-8 then sqrt(c2 * c2 + c3 * c3) else 'nan'::double end", 'relcal')} from v left join c using (det)""")
 def _(spark, d):
-    return sequences.hwpss_model(_stream(spark, d).withColumn("hwp", F.radians("az")), "hwp", 3)
+    return _shown(regress.hwpss_model(_stream(spark, d).withColumn("hwp", F.radians("az")), "hwp", 3), "relcal")
 
 
 @query("fill_gaps")
@@ -54,18 +68,22 @@ def _(spark, d):
     return sequences.jump_correct(_stream(spark, d), length=10)
 
 
-@query("time_constant")
+_IN = ", a as (select det, i, signal as v from s0)"
+_POLE = "1 + pow(2 * pi() * fr * 0.05, 2)"
+
+
+@query("time_constant", _IN + sqltext.convolution("a", "b", f"1 / ({_POLE})", f"-2 * pi() * fr * 0.05 / ({_POLE})") + f"select det, i, {r('v', 'signal')}, flags from b join s0 using (det, i)")
 def _(spark, d):
-    return sequences.time_constant(_stream(spark, d).withColumn("tau", F.lit(0.05)), RATE, "tau")
+    return _shown(sequences.time_constant(_stream(spark, d).withColumn("tau", F.lit(0.05)), RATE, "tau"))
 
 
 def _noisy(spark, d):  # noqa: ANN001, ANN202
     return _stream(spark, d).withColumns({"net": F.lit(1.0), "fknee": F.lit(0.5), "fmin": F.lit(1e-3), "alpha": F.lit(1.0)})
 
 
-@query("noise_filter")
+@query("noise_filter", _IN + sqltext.convolution("a", "b", "case when k = 0 then 0 else 1 / greatest((fr + 0.5) / (fr + 0.001), 0.001) end") + f"select det, i, {r('v', 'signal')}, flags from b join s0 using (det, i)")
 def _(spark, d):
-    return sequences.noise_filter(_noisy(spark, d), RATE)
+    return _shown(sequences.noise_filter(_noisy(spark, d), RATE))
 
 
 @query("sim_noise")
@@ -73,15 +91,35 @@ def _(spark, d):
     return simulate.noise(_noisy(spark, d), RATE)
 
 
-@query("demodulate")
+#: The plate turns by half a radian a sample.
+_F = "(0.5 * 10 / (2 * pi()))"
+_LOW, _FOUR = f"(fr <= 0.95 * {_F})::int", f"(fr between 3.05 * {_F} and 4.95 * {_F})::int"
+
+
+@query("demodulate", _IN + sqltext.convolution("a", "low", _LOW) + ", m as (select det, i, v - avg(v) over (partition by det) as v from a)" + sqltext.convolution("m", "four", _FOUR)
+       + "".join(f", {n}0 as (select det, i, four.v * 2 * {w} / sqrt(wq * wq + wu * wu) as v from four join s0 using (det, i))" + sqltext.convolution(f"{n}0", n, _LOW) for n, w in (("re", "wq"), ("im", "wu")))
+       + f""", e as (select 'demod0' as name, * from low union all select 'demod4r', * from re union all select 'demod4i', * from im)
+select name, det, i, {r('v', 'signal')}, flags from e join s0 using (det, i) where i % 3 = 0""")
 def _(spark, d):
     turning = _stream(spark, d).withColumn("hwp", F.col("i") * 0.5)
-    return sequences.demodulate(turning, RATE, "hwp")
+    return sequences.demodulate(turning, RATE, "hwp").withColumns(rounded("signal")).select("name", "det", "i", "signal", "flags")
+
+
+_LAGS = " union all ".join(f"select det, {k} as lag, x * lead(x, {k}) over (partition by det order by i) as p from x" if k else "select det, 0 as lag, x * x as p from x" for k in range(30))
 
 
-@query("noise_estimate")
+@query("noise_estimate", f""",
+x as (select det, i, case when {GOOD} then signal - avg(case when {GOOD} then signal end) over (partition by det) end as x from s0),
+cov as (select det, lag, avg(p) as cov from ({_LAGS}) where p is not null group by det, lag),
+psd as (
+  select det, k, abs(sum(case when lag = 0 then cov else 2 * cov * cos(2 * pi() * ((k * lag) % 59) / 59) end)) / 10 as psd
+  from cov, (select range as k from range(1, 30)) group by det, k)
+select det, least(7, floor(8 * ln(k) / ln(29 * (1 + 1e-9)) + 1e-12)::bigint) as bin, {r('avg(k * 10 / 59.0::double)', 'freq')}, {r('avg(psd)', 'psd')} from psd group by all""")
 def _(spark, d):
-    return sequences.noise_estimate(_stream(spark, d), RATE, lagmax=30, nbin=8)
+    # The bins are told again from the mean frequency, which lies in its bin.
+    found = sequences.noise_estimate(_stream(spark, d), RATE, lagmax=30, nbin=8)
+    at = F.least(F.lit(7), F.floor(8 * F.log(F.col("freq") * 5.9) / F.log(F.lit(29 * (1 + 1e-9))) + 1e-9).cast("long"))
+    return found.withColumn("bin", at).withColumns(rounded("freq", "psd")).select("det", "bin", "freq", "psd")
 
 
 @query("fit_noise_model")
@@ -92,19 +130,28 @@ def _(spark, d):
 @query("flag_noise_fit")
 def _(spark, d):
     fits = sequences.fit_noise(sequences.noise_estimate(_stream(spark, d), RATE, lagmax=30, nbin=8))
-    return flagging.clip(destriper.kept(fits, "fits"), ["net"], 3.0)
+    return flagging.clip(fits, ["net"], 3.0)
 
 
-@query("simple_stat_cut")
+@query("simple_stat_cut", f""",
+stats as (
+  select det, sqrt(m2) as rms, m3 / m2 ** 1.5 as skew, m4 / (m2 * m2) - 3 as kurt from (
+    select det, avg((signal - m) ** 2) as m2, avg((signal - m) ** 3) as m3, avg((signal - m) ** 4) as m4
+    from (select *, avg(signal) over (partition by det) as m from s0 where {GOOD}) group by det))""" + sqltext.clipped(["rms", "skew", "kurt"], 2.5).replace("select * from p36", f"select det, {r('rms', 'rms')}, {r('skew', 'skew')}, {r('kurt', 'kurt')} from p36"))
 def _(spark, d):
     stats = mapping.statistics(S.event_stream(spark, d)).select("det", F.sqrt("var").alias("rms"), "skew", (F.col("kurt") - 3).alias("kurt"))
-    return flagging.clip(destriper.kept(stats, "stats"), ["rms", "skew", "kurt"], 2.5)
+    return flagging.clip(stats, ["rms", "skew", "kurt"], 2.5).withColumns(rounded("rms", "skew", "kurt"))
 
 
-@query("poly_filter_2d")
+@query("poly_filter_2d", """,
+q as (select *, det % 3 as grp, (det % 12)::double as x0, floor(det / 12)::double as y0 from co),
+z as (select *, x0 - avg(x0) over g as xc, y0 - avg(y0) over g as yc from q window g as (partition by sample, det % 3)),
+u as (select *, xc * 0.999 / greatest(max(abs(xc)) over g, max(abs(yc)) over g, 1e-300) as x, yc * 0.999 / greatest(max(abs(xc)) over g, max(abs(yc)) over g, 1e-300) as y from z window g as (partition by sample, grp))
+""" + sqltext.fit("u", ["1.0::double", "y", "x", "x * y"], keys="sample, grp")
+       + f"select det, sample, {r(f'signal - case when {GOOD} then ' + sqltext.model(range(4)) + ' else 0 end', 'signal')}, {_FLAGGED} from v left join c using (sample, grp)")
 def _(spark, d):
     co = S.cosampled(S.event_stream(spark, d)).withColumns({"grp": F.col("det") % 3, "x": (F.col("det") % 12).cast("double"), "y": F.floor(F.col("det") / 12).cast("double")})
-    return sequences.poly_filter_2d(co, 1)
+    return regress.poly_filter_2d(co, 1).withColumns(rounded("signal")).select("det", "sample", "signal", "flags")
 
 
 @query("demod_common_mode")
@@ -113,29 +160,22 @@ def _(spark, d):
     return sequences.demod_common_mode(co, 2, sample="sample")
 
 
-@query("filter_bin")
+@query("filter_bin", sqltext.PLACED + sqltext.fit("u", ["1.0::double", "x", "cos(radians(az))", "sin(radians(az))"])
+       + f", o as (select pixel, signal - {sqltext.model(range(4))} as y from v left join c using (det) where {GOOD}) select pixel, count(*) as hits, count(*)::double as c00, {r('sum(y)', 'z0')} from o group by pixel")
 def _(spark, d):
-    def templates(p):  # noqa: ANN001, ANN202
-        a = np.radians(p["az"].to_numpy(float))
-        n = len(p)
-        return np.stack([np.ones(n), np.linspace(-1, 1, n), np.cos(a), np.sin(a)])
+    angle = F.radians("az")
+    s = regress.filter_bin(_stream(spark, d), [F.lit(1.0), F.col("__x"), F.cos(angle), F.sin(angle)])
+    return mapping.accumulate(s.withColumns({"wi": F.lit(1.0), "weight": F.lit(1.0)}), weights=("wi",)).withColumns(rounded("z0"))
 
-    s = sequences.filter_bin(_stream(spark, d), templates)
-    return mapping.accumulate(s.withColumns({"wi": F.lit(1.0), "weight": F.lit(1.0)}), weights=("wi",))
 
-
-@query("observation_matrix")
+@query("observation_matrix", f""",
+g as (select * from s0 where {GOOD}), n as (select det, count(*) as n from g group by det), h as (select det, pixel, count(*) as h from g group by all), t as (select pixel, count(*) as t from g group by pixel),
+m as (
+  select a.pixel as row, b.pixel as col, -a.h * b.h / n.n::double as val from h a join h b using (det) join n using (det)
+  union all select pixel, pixel, t::double from t)
+select row, col, {r('sum(val) / any_value(t)', 'val')} from m join t on t.pixel = m.row group by row, col""")
 def _(spark, d):
-    """Pixel by pixel: what a mean-per-detector filter does to a map, as (row, col, val)."""
-    s = S.event_stream(spark, d).where("(flags & 7) = 0")
-    n = s.groupBy("det").agg(F.count(F.lit(1)).alias("n"))
-    hits = s.groupBy("det", "pixel").agg(F.count(F.lit(1)).alias("h"))
-    total = s.groupBy("pixel").agg(F.count(F.lit(1)).alias("t"))
-    pairs = hits.join(n, "det").join(hits.select("det", F.col("pixel").alias("col"), F.col("h").alias("g")), "det")
-    off = pairs.groupBy(F.col("pixel").alias("row"), "col").agg(F.sum(-F.col("h") * F.col("g") / F.col("n")).alias("val"))
-    one = total.select(F.col("pixel").alias("row"), F.col("pixel").alias("col"), F.col("t").cast("double").alias("val"))
-    both = off.unionByName(one).groupBy("row", "col").agg(F.sum("val").alias("val"))
-    return both.join(total.withColumnRenamed("pixel", "row"), "row").select("row", "col", (F.col("val") / F.col("t")).alias("val"))
+    return mapping.mean_filter_matrix(S.event_stream(spark, d)).withColumns(rounded("val"))
 
 
 @query("solve_amplitudes")
@@ -148,31 +188,45 @@ def _(spark, d):
     return destriper.map_maker(catalog.stream(spark, d), Offset(20), iter_max=8)[0]
 
 
-@query("fourier2d_project")
+@query("fourier2d_project", f""",
+q as (select *, pi() * (det % 12) / 12.0::double as x, pi() * floor(det / 12) / 12.0::double as y from co where {GOOD})
+select sample, amp, {r("sum(signal * case amp when 0 then 1 when 1 then cos(x) * cos(y) when 2 then cos(x) * sin(y) when 3 then sin(x) * cos(y) else sin(x) * sin(y) end)", 'value')}
+from q, (select range::int as amp from range(5)) group by sample, amp""")
 def _(spark, d):
     co = S.cosampled(S.event_stream(spark, d)).withColumns({"x": (F.col("det") % 12) / 12.0, "y": F.floor(F.col("det") / 12) / 12.0})
-    return Fourier2D(1).project(co)
+    return Fourier2D(1).project(co).withColumns(rounded("value"))
 
 
-@query("gain_project")
+@query("gain_project", sqltext.PLACED + f""",
+q as (select det, x, signal * (m0 + wq * m1 + wu * m2) as p from u join sky using (pixel) where {GOOD})
+select det, amp, {r('sum(p * case amp when 0 then 1 when 1 then x else (3 * x * x - 1) / 2 end)', 'value')} from q, (select range::int as amp from range(3)) group by det, amp""")
 def _(spark, d):
     from ..operators.intervals import spans_of
 
     s = S.event_stream(spark, d)
     seen = mapping.scan_map(s.withColumn("model", F.lit(0.0)), S.sky(spark), zero=True, out="model")
-    return Gain(2).project(seen.join(spans_of(s), "det"))
+    return Gain(2).project(seen.join(spans_of(s), "det")).withColumns(rounded("value"))
+
+
+_TURN = "2 * pi() * (t / {p} - floor(t / {p}))"
+_SCAN = """with k as (select o, 'obs_00000' || o as obs, i, o * 360.0::double + i / 10.0::double as t from (select range as o from range(2)), (select range as i from range({n})))"""
 
 
-@query("sim_satellite")
+@query("sim_satellite", _SCAN.format(n=3000) + f""",
+q as (select * from {sqltext.quaternion('k', [(2, _TURN.format(p=300.0)), (0, 'radians(7)'), (2, _TURN.format(p=30.0)), (0, 'radians(3)'), (2, 'pi() / 2')])})
+select obs, i, {r('t', 't')}, {', '.join(r(f'q4{j}', f'b{c}') for j, c in enumerate('xyzw'))}, {r('2 * pi() * (t * 9 / 60 - floor(t * 9 / 60))', 'hwp_angle')} from q""", base=False)
 def _(spark, d):
     scans = simulate.satellite_schedule(spark, 2, 5.0, 1.0, prec=5.0, spin=0.5)
-    return simulate.satellite(scans, RATE, 7.0, 3.0, hwp_rpm=9.0)
+    return simulate.satellite(scans, RATE, 7.0, 3.0, hwp_rpm=9.0).withColumns(rounded("t", "bx", "by", "bz", "bw", "hwp_angle"))
 
 
-@query("sim_ground")
+@query("sim_ground", f"""with k as (select range as i, range / 10.0::double as t, (range / 10.0::double) % 12 as p from range(3000)),
+u as (select *, p >= 6 as back, case when p >= 6 then p - 6 else p end as u from k)
+select 'ces' as obs, i, {r('t', 't')}, {r("case when u < 4 then case when back then 44 - u else 40 + u end when back then 40 - ((u - 4) - (u - 4) * (u - 4) / 2) else 44 + ((u - 4) - (u - 4) * (u - 4) / 2) end", 'az')},
+  50.0::double as el, case when u < 4 then case when back then -1 else 1 end else 0 end as moving from u""", base=False)
 def _(spark, d):
     s = spark.createDataFrame([("ces", 0.0, 300.0, 40.0, 44.0, 50.0)], "obs string, start double, stop double, az_min double, az_max double, el double")
-    return simulate.ground_scan(s, RATE)
+    return simulate.ground_scan(s, RATE).withColumns(rounded("t", "az"))
 
 
 @query("satellite_hit_map")
@@ -198,10 +252,14 @@ def _(spark, d):
     return simulate.cosmic_rays(_stream(spark, d), RATE, eventrate=0.1)
 
 
-@query("perturb_hwp")
+@query("perturb_hwp", _SCAN.format(n=1200).replace("360.0", "120.0") + f""",
+a as (select obs, i, t, 2 * pi() * (t * 9 / 60 - floor(t * 9 / 60)) as a from k),
+b as (select *, lead(a) over w - a as da, lead(t) over w - t as dt, min(t) over (partition by obs) as t0, max(t) over (partition by obs) as t1, first_value(a) over w as a0 from a window w as (partition by obs order by i)),
+c as (select *, median(case when da > 0 then da / dt end) over (partition by obs) as w from b)
+select obs, i, {r('(a0 + w * 0.99 * (t - t0) + w * 0.01 / (t1 - t0) * (t - t0) * (t - t0)) % (2 * pi())', 'hwp_angle')} from c""", base=False)
 def _(spark, d):
     scans = simulate.satellite(simulate.satellite_schedule(spark, 2, 2.0), RATE, hwp_rpm=9.0)
-    return simulate.perturb_hwp(scans, 0.01).select("obs", "i", "hwp_angle")
+    return simulate.perturb_hwp(scans, 0.01).select("obs", "i", "hwp_angle").withColumns(rounded("hwp_angle"))
 
 
 @query("random_numbers")
@@ -211,9 +269,11 @@ def _(spark, d):
     return c.select("k", *[rng.column(n)(F.lit(7).cast("long"), zero, zero, F.col("k")).alias(n) for n in ("uint64", "uniform_01", "uniform_m11", "gaussian")], rng.name_uid(F.col("k").cast("string")).alias("uid"))
 
 
-@query("event_sessions")
+@query("event_sessions", f"""with e as (select event_type as kind, ts, value, ts - lag(ts) over (partition by event_type order by ts) > interval 30 minutes as new from events),
+n as (select *, sum(coalesce(new, true)::int) over (partition by kind order by ts) as k from e)
+select kind, epoch_us(min(ts)) // 1000000 as start, epoch_us(max(ts) + interval 30 minutes) // 1000000 as stop, count(*) as n, {r('sum(value)', 'total')} from n group by kind, k""", base=False)
 def _(spark, d):
     from ..streaming.windows import sessions
 
     e = S.read(spark, d, "events").select(F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    return sessions(e, "30 minutes")
+    return sessions(e, "30 minutes").withColumns(rounded("total"))
