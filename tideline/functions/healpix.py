@@ -184,3 +184,43 @@ def degrade_ring(df: DataFrame, pix: str, nside: int, factor: int, out: str) ->
 def upgrade_ring(df: DataFrame, pix: str, nside: int, factor: int, out: str) -> DataFrame:
     df = ring_to_nest(df, pix, nside, "__n").withColumn("__n", upgrade_nest(F.col("__n"), factor))
     return nest_to_ring(df, "__n", nside * factor, out).drop("__n")
+
+
+def _ring_facts(ring: Column, nside: int) -> dict[str, Column]:
+    """Colatitude, first pixel, number of pixels and half-pixel shift of a ring (1 to 4 nside - 1)."""
+    north = F.when(ring > 2 * nside, 4 * nside - ring).otherwise(ring)
+    cap = north < nside
+    z = F.when(cap, 1 - north * north / (3.0 * nside * nside)).otherwise((2 * nside - north) * 2 / (3.0 * nside))
+    size = F.when(cap, 4 * north).otherwise(4 * nside)
+    first = F.when(cap, 2 * north * (north - 1)).otherwise(2 * nside * (nside - 1) + (north - nside) * 4 * nside)
+    south = north != ring
+    shift = F.when(cap | ((north - nside).bitwiseAND(F.lit(1).cast("long")) == 0), 0.5).otherwise(0.0)
+    return {"theta": F.when(south, F.pi() - F.acos(z)).otherwise(F.acos(z)), "first": F.when(south, 12 * nside * nside - first - size).otherwise(first), "size": size, "shift": shift}
+
+
+def interpolation(df: DataFrame, theta: Column, phi: Column, nside: int, out: str = "near") -> DataFrame:
+    """Adds ``out``: the four pixels (ring order) around a direction with their bilinear weights.
+
+    Two pixels of the ring above and two of the ring below, linear in longitude on each and in colatitude
+    between them; beyond the first and last ring the four polar pixels share the pole's weight.
+    """
+    z = F.cos(theta)
+    cap = _long(F.floor(nside * F.sqrt(3 * (1 - F.abs(z)))))
+    above = F.when(F.abs(z) <= 2.0 / 3.0, _long(F.floor(nside * (2 - 1.5 * z)))).when(z > 0, cap).otherwise(4 * nside - cap - 1)
+    df = df.withColumns({"__th": theta, "__ph": F.pmod(phi, 2 * F.pi()), "__up": above})
+    for s, ring in (("a", F.greatest(F.col("__up"), F.lit(1))), ("b", F.least(F.col("__up") + 1, F.lit(4 * nside - 1)))):
+        df = df.withColumns({f"__{s}{k}": v for k, v in _ring_facts(ring, nside).items()})
+        step = F.col("__ph") * F.col(f"__{s}size") / (2 * F.pi()) - F.col(f"__{s}shift")
+        df = df.withColumn(f"__{s}at", step)
+        low = _long(F.floor(f"__{s}at"))
+        df = df.withColumns({f"__{s}0": _long(F.col(f"__{s}first") + F.pmod(low, F.col(f"__{s}size"))), f"__{s}1": _long(F.col(f"__{s}first") + F.pmod(low + 1, F.col(f"__{s}size"))), f"__{s}w": F.col(f"__{s}at") - low})
+    top, bottom = F.col("__up") == 0, F.col("__up") == 4 * nside - 1
+    share = F.when(top, F.col("__th") / F.col("__btheta")).when(bottom, (F.col("__th") - F.col("__atheta")) / (F.pi() - F.col("__atheta"))).otherwise((F.col("__th") - F.col("__atheta")) / (F.col("__btheta") - F.col("__atheta")))
+    df = df.withColumn("__s", share)
+    s, pole, last = F.col("__s"), F.lit(0.25), 12 * nside * nside - 4
+    # At a cap the ring beyond the pole is the same ring, seen from its other side.
+    over = lambda c: (F.col(c) + 2).bitwiseAND(F.lit(3).cast("long"))
+    upper = [(F.when(top, over(f"__b{k}")).otherwise(F.col(f"__a{k}")), F.when(top, (1 - s) * pole).otherwise((1 - s) * w) + F.when(bottom, s * pole).otherwise(0.0)) for k, w in ((0, 1 - F.col("__aw")), (1, F.col("__aw")))]
+    lower = [(F.when(bottom, over(f"__a{k}") + last).otherwise(F.col(f"__b{k}")), F.when(bottom, s * pole).otherwise(s * w) + F.when(top, (1 - s) * pole).otherwise(0.0)) for k, w in ((0, 1 - F.col("__bw")), (1, F.col("__bw")))]
+    near = F.array(*[F.struct(p.alias("pixel"), w.alias("w")) for p, w in (*upper, *lower)])
+    return _done(df, out, near, ("__th", "__ph", "__up", "__s", *[f"__{r}{k}" for r in "ab" for k in ("theta", "first", "size", "shift", "at", "0", "1", "w")]))

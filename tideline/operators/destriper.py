@@ -18,9 +18,13 @@ from .templates import Offset
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (or the warehouse) and read back."""
+    """df written to the folder in spark.checkpoint.dir and read back; on a single machine the warehouse serves where that is unset."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kept"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kept"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

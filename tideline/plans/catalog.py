@@ -66,8 +66,9 @@ def query(name: str, sql: str | None = None, base: bool = True) -> Callable[[Que
 
 
 def stream(spark: SparkSession, d: str) -> DataFrame:
-    s = S.event_stream(spark, d)
-    return s.join(S.detectors(s), "det")
+    # Detectors come from the table itself, so the windowed stream is made once.
+    dets = S.detectors(S.read(spark, d, "events").select(F.col("user_id").alias("det")))
+    return S.event_stream(spark, d).join(dets, "det")
 
 
 GOOD = "(flags & 7) = 0"
@@ -640,11 +641,17 @@ def _(spark, d):
     return q.select("k", (1e6 * dipole(v, Q.of((0, 0, 370.0)))).alias("shift")).withColumns(rounded("shift"))
 
 
-@query("coordinate_rotation", None)
+_E = ", ".join(f"{v!r}::double as e{k}" for k, v in enumerate(Q.EQU2GAL))
+
+
+@query("coordinate_rotation", _QUATS + f""", e as (select *, {_E}, atan2(dy, dx) as phi from v),
+m as (select *, dz * cos(phi) as mx, dz * sin(phi) as my, -sqrt(greatest(0, 1 - dz * dz)) as mz from e)
+select k, {r('e3 * x + e0 * w + e1 * z - e2 * y', 'x')}, {r('e3 * y + e1 * w + e2 * x - e0 * z', 'y')}, {r('e3 * z + e2 * w + e0 * y - e1 * x', 'z')}, {r('e3 * w - e0 * x - e1 * y - e2 * z', 'w')},
+  {r('phi', 'lon')}, {r('asin(dz)', 'lat')}, {r('atan2((my * oz - mz * oy) * dx + (mz * ox - mx * oz) * dy + (mx * oy - my * ox) * dz, mx * ox + my * oy + mz * oz)', 'psi')} from m""")
 def _(spark, d):
-    turned = _quats(spark, d).select("k", *[c.alias(n) for c, n in zip(Q.mult(Q.of(Q.EQU2GAL), _q()), "xyzw", strict=True)])
     lon, lat, psi = Q.to_lonlat_angles(_q())
-    return turned.select("k", lon.alias("lon"), lat.alias("lat"), psi.alias("psi"))
+    turned = [c.alias(n) for c, n in zip(Q.mult(Q.of(Q.EQU2GAL), _q()), "xyzw", strict=True)]
+    return _quats(spark, d).select("k", *turned, lon.alias("lon"), lat.alias("lat"), psi.alias("psi")).withColumns(rounded("x", "y", "z", "w", "lon", "lat", "psi"))
 
 
 # ---- observation index -------------------------------------------------------------------------------------------
@@ -690,6 +697,7 @@ def _(spark, d):
 
 
 from . import sequences as _sequences  # noqa: E402,F401  (registers the queries of sequence operators)
+from . import ground as _ground  # noqa: E402,F401  (registers those of ground scans)
 
 
 def queries() -> dict[str, Query]:
