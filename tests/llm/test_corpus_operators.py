@@ -206,6 +206,50 @@ def test_extraction_keeps_rows_and_columns(spark):
     assert html_text.op9_html_text(pages.limit(0)).count() == 0
 
 
+def test_html_tree_uses_words_links_and_neighbours(spark):
+    used = set()
+
+    def walk(t):
+        if t.low is not None:
+            used.add(html_text.FEATURES[t.feature])
+            walk(t.low), walk(t.high)
+
+    walk(html_text.trained())
+    assert {"words", "links", "hint", "place"} <= used
+    assert used & {"words_before", "links_before"} and used & {"words_after", "links_after"}
+    x, y = html_text.LABELLED[:, :-1], html_text.LABELLED[:, -1]
+    assert ((html_text.trained().predict(x) >= 0.5) == y).mean() > 0.97
+    alone = x.copy()
+    alone[:, 2:6] = 0  # without neighbours
+    assert ((html_text.trained().predict(alone) >= 0.5) != (html_text.trained().predict(x) >= 0.5)).sum() >= 5
+
+
+def test_html_by_hand():
+    text, short = " ".join(["word"] * 80), " ".join(["word"] * 20)
+    get = html_text.main_text
+    assert get(f'<p class="notice">Cookie<p>{text}') == text
+    assert get(f'<div class="search-results-article"><p>{text}</div>') == text
+    assert get(f"<a href=x><div>Menu one two</div></a><p>{text}") == text
+    assert get(f'<div class="layout has-sidebar"><article><p>{text}</p></article></div>') == text
+    assert get(f'<div id="page-with-search"><main><h1>A title</h1><p>{text}</p></main></div>') == f"A title\n{text}"
+    assert get(f'<article><p>{text}</p><section class="comments"><article><p>{short} {short}</p></article></section></article>') == text
+    assert get(f"<article><h1>T</h1><p>{short}</p><p>The end</p></article><nav><a href=1>A</a></nav>") == f"T\n{short}\nThe end"
+    assert get(f"<nav><a href=1>A</a></nav><article><p>{short}</p><aside>{text}</aside><p>x &amp; y</p></article><footer>f</footer>") == f"{short}\nx & y"
+    # The same short block is a heading between texts and a label between links.
+    assert get(f"<p>{text}<h2>Two words</h2><p>{text}") == f"{text}\nTwo words\n{text}"
+    assert get(f"<div><a href=1>Home page</a></div><div>Two words</div><div><a href=2>Other page</a></div><p>{text}") == text
+
+
+@pytest.mark.parametrize("tag", ["<button>", "<svg>", "<div>", '<p class="ad">', '<a "', "<a href=x>", "<script>", "<li class=menu>", "<!-- ", "<span class=ad>"])
+def test_html_of_unclosed_tags_takes_linear_time(tag):
+    import time
+
+    html_text.trained()
+    began = time.process_time()
+    html_text.main_text(tag * (1_000_000 // len(tag)))
+    assert time.process_time() - began < 2
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     pytest.importorskip("public_tokenizers")
