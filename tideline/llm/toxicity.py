@@ -4,9 +4,13 @@ Training reads labelled rows only, at most ``max_rows`` of each label in the
 order of their id's hash; each stands for (labelled rows of its label / rows
 taken of it) rows, so shares of the labels are those of all labels.  From these come
  * a lexicon: words, and word starts of 4 to 6 letters, whose share of toxic
-   documents is far above that of clean ones, counted by a distributed sum;
- * trees over the features below, fitted on three quarters of the rows, weighted;
- * an isotonic line from the trees' output to a probability, on the last quarter, weighted.
+   documents is far above that of clean ones, counted by a distributed sum over
+   three quarters of the rows;
+ * trees over the features below, fitted on the same rows, weighted; each half of
+   them is measured with a lexicon learned from the other half, so that no row's
+   features come from its own label;
+ * an isotonic line from the trees' output to a probability, on the last quarter, weighted,
+   whose labels neither lexicon nor trees have seen.
 
 Scoring is a map over whole texts with no shuffle.  The lexicon (at most
 ``max_terms``) and the trees are of fixed size and travel with the task.
@@ -18,9 +22,9 @@ obfuscated words (digits or signs among letters, letters drawn out or set apart)
 
 Defined cases: a null text is an empty one; empty texts get the score of their
 features like any other; labels that are null are not used, and a document
-labelled twice counts as toxic if one label says so; with no labels every score
-is 0.5 times nothing known, that is the prior of the trees; repeated rows are
-scored alike.
+labelled twice counts as toxic if one label says so; of rows that share a labelled id
+one is learned from; with no labels every score is 0.5; repeated rows and equal
+features are scored alike; an empty table gives no scores.
 """
 
 from __future__ import annotations
@@ -35,7 +39,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Isotonic, Trees, fit_isotonic, fit_trees
-from .tokens import plain, words
+from .common import bounded_batches
+from .tokens import lots, plain, words
 
 #: Second-person words of English, French, German and Spanish.
 SECOND = frozenset("you your yours yourself u ur thou tu toi te ton ta tes vous votre vos du dich dir dein deine deinen ihr euch euer sie ihnen tú ti usted ustedes vosotros os tus su".split())
@@ -67,43 +72,50 @@ def terms(word: str) -> list[str]:
     return [w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)] if w else []
 
 
-def in_lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts a few at a time: what a task holds follows the distinct words of a lot."""
-    for b in batches:
-        for low in range(0, b.num_rows, LOT):
-            yield b.slice(low, LOT)
+def in_lots(batches: Iterator[pa.RecordBatch], at: int = 0) -> Iterator[pa.RecordBatch]:
+    """Texts a few at a time, at most 2 MB unless one alone has more: what a task holds follows the distinct words of a lot."""
+    return lots(batches, at, rows=LOT)
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) -> (term, toxic, n): documents of the batch that hold a word under the term."""
+    """(text, kind) -> (term, kind, n): documents of the lot that hold a word under the term; kind is 2 * half + label."""
     for b in in_lots(batches):
         w = words(b.column(0), lower=False)
-        toxic = np.asarray(b.column(1)).astype(np.int64)
+        kind = np.asarray(b.column(1)).astype(np.int64)
         n = max(len(w.unique), 1)
         seen = np.unique(w.owner() * n + w.code)
-        counts = np.bincount((seen % n) + n * toxic[seen // n], minlength=2 * n).reshape(2, n)
+        counts = np.bincount((seen % n) + n * kind[seen // n], minlength=4 * n).reshape(4, n)
         sums: dict[tuple[str, int], int] = {}
         for i, word in enumerate(w.unique.to_pylist()):
             for t in terms(word):
-                for y in (0, 1):
+                for y in range(4):
                     if counts[y, i]:
                         sums[t, y] = sums.get((t, y), 0) + int(counts[y, i])
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()), pa.array(list(sums.values()), pa.int64())], ["term", "toxic", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()), pa.array(list(sums.values()), pa.int64())], ["term", "kind", "n"])
 
 
-def learn_lexicon(sample: DataFrame, max_terms: int = 8192, least: int = 2, ratio: float = 8.0) -> dict[str, float]:
-    """sample(text, toxic) -> log ratio of each listed term."""
-    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    t, c = sizes.get(1, 0), sizes.get(0, 0)
-    if not t or not c:
-        return {}
-    counted = sample.select("text", "toxic").mapInArrow(_count_terms, "term string, toxic int, n long").groupBy("term")
-    counted = counted.agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-    weight = F.log((F.col("t") + 0.5) / (t + 1.0)) - F.log((F.col("c") + 0.5) / (c + 1.0))
-    # A lower bound on the ratio, so that rare terms need a clean record.
-    sure = weight - F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)) * F.when(F.col("c") > 0, 1.0).otherwise(0.5)
-    best = counted.where(F.col("t") >= least).select("term", weight.alias("w"), sure.alias("s")).where(F.col("s") > float(np.log(ratio))).orderBy(F.desc("s"), "term").limit(max_terms)
-    return {r.term: float(r.w) for r in best.collect()}
+def learn_lexicons(sample: DataFrame, max_terms: int = 8192, least: int = 2, ratio: float = 8.0) -> list[dict[str, float]]:
+    """sample(text, toxic, half) -> log ratios of listed terms: from half 0, from half 1, and from both."""
+    from .common import stored
+
+    kind = (2 * F.col("half") + F.col("toxic")).cast("int").alias("kind")
+    sizes = {r.kind: r.n for r in sample.select(kind).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows
+    counted = sample.select("text", kind).mapInArrow(_count_terms, "term string, kind int, n long").groupBy("term")
+    counted = stored(counted.agg(*[F.sum(F.when(F.col("kind") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in range(4)]), "terms")
+    out = []
+    for halves in ((0,), (1,), (0, 1)):
+        t, c = (sum(sizes.get(2 * h + y, 0) for h in halves) for y in (1, 0))
+        if not t or not c:
+            out.append({})
+            continue
+        of = lambda y, halves=halves: sum((F.col(f"n{2 * h + y}") for h in halves), F.lit(0))
+        rows = counted.select("term", of(1).alias("t"), of(0).alias("c"))
+        weight = F.log((F.col("t") + 0.5) / (t + 1.0)) - F.log((F.col("c") + 0.5) / (c + 1.0))
+        # A lower bound on the ratio, so that rare terms need a clean record.
+        sure = weight - F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)) * F.when(F.col("c") > 0, 1.0).otherwise(0.5)
+        best = rows.where(F.col("t") >= least).select("term", weight.alias("w"), sure.alias("s")).where(F.col("s") > float(np.log(ratio))).orderBy(F.desc("s"), "term").limit(max_terms)
+        out.append({r.term: float(r.w) for r in best.collect()})
+    return out
 
 
 def measure(col: pa.Array, lexicon: dict[str, float]) -> np.ndarray:
@@ -196,27 +208,33 @@ def pick(labels: DataFrame, key: str, max_rows: int = 8000) -> DataFrame:
 
 
 def train(sample: DataFrame) -> Model:
-    """sample(text, toxic, o, weight) -> Model; the rows are those that ``pick`` chose, so their number is bounded."""
+    """sample(text, toxic, o, weight) -> Model; the rows are those that ``pick`` chose, one for each o, so their number is bounded."""
     from .common import stored
 
-    sample = stored(sample.repartition(24, "o"), "toxic-sample")
-    lexicon = learn_lexicon(sample)
+    fold = F.pmod(F.xxhash64("o"), F.lit(8))
+    sample = stored(sample.dropDuplicates(["o"]).withColumns({"held": fold >= 6, "half": (fold % 2).cast("int")}), "toxic-sample")
+    lexicons = learn_lexicons(sample.where("not held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_lots(batches):
-            x = measure(b.column(0), lexicon)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c) for c in x.T)], ["toxic", "o", "weight", *FEATURES])
+            held, half = (np.asarray(b.column(k).cast(pa.int8())) for k in (4, 5))
+            use = np.where(held == 1, 2, 1 - half)  # which lexicon: of both halves for held rows, else of the other half
+            x = np.zeros((b.num_rows, len(FEATURES)))
+            for k in range(3):
+                at = np.flatnonzero(use == k)
+                if len(at):
+                    x[at] = measure(b.column(0).take(pa.array(at)), lexicons[k])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:5], *(pa.array(c) for c in x.T)], ["toxic", "o", "weight", "held", *FEATURES])
 
     # At most 2 * max_rows rows of numbers come to the driver.
-    rows = sample.select("text", "toxic", "o", "weight").mapInArrow(run, "toxic int, o long, weight double, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
+    rows = sample.select("text", "toxic", "o", "weight", "held", "half").mapInArrow(run, "toxic int, o long, weight double, held boolean, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
     rows = rows.sort_by([("o", "ascending"), ("toxic", "ascending")])
-    y, weight = np.asarray(rows["toxic"]).astype(float), np.asarray(rows["weight"])
+    y, weight, held = np.asarray(rows["toxic"]).astype(float), np.asarray(rows["weight"]), np.asarray(rows["held"]).astype(bool)
     x = np.column_stack([np.asarray(rows[f]) for f in FEATURES]) if len(y) else np.zeros((0, len(FEATURES)))
-    if not len(y):
+    if held.all():
         return Model({}, Trees(1, 0.0), Isotonic(np.zeros(0), np.zeros(0)))
-    held = np.arange(len(y)) % 4 == 3
     trees = fit_trees(x[~held], y[~held], weight[~held])
-    return Model(lexicon, trees, fit_isotonic(trees.raw(x[held]), y[held], weight[held]))
+    return Model(lexicons[2], trees, fit_isotonic(trees.raw(x[held]), y[held], weight[held]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -225,9 +243,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     slim = docs if text == out else docs.drop(out)
     names = slim.columns
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_lots(batches):
+        for b in in_lots(batches, names.index(text)):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(b.column(names.index(text))))], [*names, out])
 
     return slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField(out, T.DoubleType())]))
