@@ -162,6 +162,26 @@ def test_cascade_is_exact_over_its_universe(spark, max_bits):
 PAGES = [(3, "http://a", "x" * 150), (1, "http://b\r\nc", "x" * 150), (2, None, "x" * 150), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (8, "é", "é" * 60), (None, "n", "y" * 200)]
 
 
+def test_warc_rebuilds_records_of_a_crowded_payload(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CROWD", 3)
+    pages = spark.createDataFrame([(i, f"u{i}", "y" * 200 if i < 20 else f"own {i}") for i in range(40)], "page_id long, url string, html string")
+    folder = "file:///" + str(spark.conf.get("spark.checkpoint.dir"))[7:].lstrip("/") + "/warc-crowd"
+    warc.write_archive(pages, folder)
+    back = {r.page_id: bytes(r.payload) for r in warc.reconstruct(spark, folder).collect()}
+    assert back == {r.page_id: r.html.encode() for r in pages.collect()}
+
+
+def test_ablation_matches_the_ledger(spark):
+    docs = frame(spark, TEXTS)
+    ledger = [r.failed for r in quality_rules.evaluate(docs).collect()]
+    mask = quality_rules.V1.mask
+    for r in quality_rules.ablate(quality_rules.evaluate(docs)).collect():
+        bit = quality_rules.BIT[r.rule]
+        assert r.n_failed == sum(bool(f & bit) for f in ledger)
+        assert r.n_failed_alone == sum(f & mask == bit for f in ledger)
+        assert r.n_kept_without == sum(f & mask & ~bit == 0 for f in ledger)
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(*p, 1) for p in PAGES], "page_id long, url string, html string, digest int")
     rows = {r.page_id: r for r in warc.op6_warc(pages).collect()}

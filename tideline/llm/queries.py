@@ -71,5 +71,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(table(spark, sf_dir, "pages"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the newest policy rejects, alone and with the others, by bits of the ledger."""
+    from .quality_rules import ablate, evaluate
+
+    return ablate(evaluate(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()} | {"quality_ablation": quality_ablation}

@@ -24,11 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_skewed, shared_folder
+from .common import join_skewed, shared_folder, split_heavy
 
 #: Every record of an archive carries one date, so that writing twice gives the same bytes.
 DATE = "2000-01-01T00:00:00Z"
 _EOL = "\r\n"
+#: Records for which a shared payload is copied once when records are rebuilt.
+CROWD = 1000
 
 
 def _record_id(page: Column) -> Column:
@@ -119,7 +121,18 @@ def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
     heads = read_headers(spark, folder)
     eol = F.encode(F.lit(_EOL), "UTF-8")
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.encode(F.lit(""), "UTF-8"))
-    joined = heads.join(verified_payloads(spark, folder).select("digest", "payload").hint("merge"), "digest")
+    stored_payloads = verified_payloads(spark, folder)
+    # A payload of many records is copied once for each CROWD of them, and they are dealt over the copies; of such payloads
+    # only digests and numbers are broadcast, at most 4,096.
+    known = spark.read.parquet(f"{folder}/payloads").select("digest", "n_records")
+    total = known.agg(F.sum("n_records")).first()[0] or 0
+    heavy, _ = split_heavy(known.where(F.col("n_records") > CROWD), "n_records", total)
+    heavy = F.broadcast(heavy.select("digest", F.ceil(F.col("n_records") / CROWD).alias("__copies")))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("__copies", F.lit(1).cast("long")))
+    heads = heads.join(heavy, "digest", "left").withColumn("__salt", salt)
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__copies", F.lit(1).cast("long")) - 1))
+    bodies = stored_payloads.select("digest", "payload").join(heavy, "digest", "left").select("digest", "payload", copies.alias("__salt"))
+    joined = heads.join(bodies.hint("merge"), ["digest", "__salt"])
     return joined.select("page_id", "url", "record_type", "refers_to", "payload", F.concat("header", eol, eol, block, eol, eol).alias("record"))
 
 
