@@ -65,36 +65,29 @@ def test_lm_score_against_plain_counts(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choices("a b c d".split() if i % 2 else "c d e f".split(), k=rng.randint(0, 30))) for i in range(40)] + [None, "", "zzz", "A b\tC"]
     docs = spark.createDataFrame([(i, t, i % 2 == 1) for i, t in enumerate(texts)], "doc_id long, text string, target boolean")
-    vocab, listed, target, background = model = lm_score.fit(docs, least=2)
-    got = {r.doc_id: r for r in lm_score.score(docs, model).collect()}
+    got = {r.doc_id: r for r in lm_score.score(docs).collect()}
     words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
-    count = {w: sum(x.count(w) for x in words) for x in words for w in x}
-    known = {w for w, n in count.items() if n >= 2}
-    as_ids = [["<s>", *(w if w in known else "<unk>" for w in x)] for x in words]
 
-    def losses(keep):
-        pairs, single, context = {}, {}, {}
-        for k, ids in enumerate(as_ids):
+    def counts(keep):
+        pairs, single = {}, {"<s>": sum(bool(x) for k, x in enumerate(words) if keep(k))}
+        for k, x in enumerate(words):
             if keep(k):
-                for v, w in zip(ids, ids[1:]):
+                for v, w in zip(["<s>", *x], x):
                     pairs[v, w] = pairs.get((v, w), 0) + 1
-                    single[w], context[v] = single.get(w, 0) + 1, context.get(v, 0) + 1
-        return pairs, single, context
+                    single[w] = single.get(w, 0) + 1
+        return pairs, single
 
-    both = losses(lambda k: True)[0]
-    use = {p for p, n in both.items() if n >= 2}
-    size, total = len(known) + 2, {}
+    both, every = counts(lambda k: True)
+    size, total = len(every) - 1, {}
     for name, keep in (("loss_target", lambda k: k % 2 == 1), ("loss_background", lambda k: True)):
-        pairs, single, context = losses(keep)
-        n = sum(single.values())
-        for k, ids in enumerate(as_ids):
+        pairs, single = counts(keep)
+        n = sum(single.values()) - single["<s>"]
+        for k, x in enumerate(words):
             loss = 0.0
-            for v, w in zip(ids, ids[1:]):
-                c = max(context.get(v, 0), 1)
-                kept = sum(m for (a, _), m in pairs.items() if a == v and (a, _) in use) / c
-                p = lm_score.MU * (pairs.get((v, w), 0) if (v, w) in use else 0) / c + (1 - lm_score.MU * kept) * (single.get(w, 0) + 1) / (n + size)
-                loss -= np.log(p)
-            total[name, k] = loss / max(len(ids) - 1, 1)
+            for v, w in zip(["<s>", *x], x):
+                of_pair = pairs.get((v, w), 0) if both[v, w] >= 2 else 0
+                loss -= np.log(lm_score.MU * of_pair / max(single.get(v, 0), 1) + (1 - lm_score.MU) * (single.get(w, 0) + 1) / (n + size + 1))
+            total[name, k] = loss / max(len(x), 1)
     for k in range(len(texts)):
         r = got[k]
         assert r.n_words == len(words[k])
@@ -108,22 +101,28 @@ def test_lm_score_against_plain_counts(spark):
     assert lm_score.op2_lm_score(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_marks_of_lm_targets(spark):
+    docs = spark.createDataFrame([(i % 50, f"t{i}", 1) for i in range(100)] + [(None, "n", 1)], "doc_id long, text string, ref int")
+    ids = spark.createDataFrame([(i,) for i in range(0, 60, 3)] + [(None,), (3,)], "doc_id int")
+    got = lm_score.marked(docs, ids, "doc_id").collect()
+    assert sorted((r.text, r.target) for r in got) == sorted([(f"t{i}", i % 50 % 3 == 0) for i in range(100)] + [("n", False)])
+
+
 def test_lm_score_counts_rare_keys_at_any_size(spark, monkeypatch):
     # Over two million words, where a floor of a millionth is above the two occurrences of "p q".
     texts = ["x " * 2_200_000, "p q", "p q", "q p", "once p", "twice p"]
     docs = spark.createDataFrame([(i, t, i in (1, 3)) for i, t in enumerate(texts)], "doc_id long, text string, target boolean")
-    n, size = 2_200_010, 3 + 2
-    single, context = {"p": 5, "q": 3, "?": 2}, {"p": 2, "q": 1, "?": 2, "s": 6}
-    kept = {"s": 4 / 6, "p": 1.0, "q": 0.0, "?": 1.0}
-    listed = {("s", "p"): 2, ("s", "?"): 2, ("p", "q"): 2, ("?", "p"): 2}
+    n, size = 2_200_010, 5
+    single = {"p": 5, "q": 3, "once": 1, "twice": 1, "s": 6}
+    listed = {("s", "p"): 2, ("p", "q"): 2}
 
     def loss(*ids):
-        return -np.mean([np.log(lm_score.MU * listed.get((v, w), 0) / context[v] + (1 - lm_score.MU * kept[v]) * (single[w] + 1) / (n + size)) for v, w in zip(("s", *ids), ids)])
+        return -np.mean([np.log(lm_score.MU * listed.get((v, w), 0) / single[v] + (1 - lm_score.MU) * (single[w] + 1) / (n + size + 1)) for v, w in zip(("s", *ids), ids)])
 
-    want = {1: loss("p", "q"), 2: loss("p", "q"), 3: loss("q", "p"), 4: loss("?", "p"), 5: loss("?", "p")}
-    for cache in (lm_score.CACHE, 10):  # constants held by the tasks, and joined
-        monkeypatch.setattr(lm_score, "CACHE", cache)
-        got = {r.doc_id: r for r in lm_score.score(docs, lm_score.fit(docs)).collect()}
+    want = {1: loss("p", "q"), 2: loss("p", "q"), 3: loss("q", "p"), 4: loss("once", "p"), 5: loss("twice", "p")}
+    for first in (lm_score.WORDS, 10):  # most words counted first, and sent back
+        monkeypatch.setattr(lm_score, "WORDS", first)
+        got = {r.doc_id: r for r in lm_score.score(docs).collect()}
         assert {k: got[k].loss_background for k in want} == pytest.approx(want)
         assert got[0].n_words == 2_200_000
 

@@ -61,7 +61,7 @@ def _around(words: Column, at: Column, before: int, after: int) -> Column:
     return F.transform(F.sequence(F.lit(-before), F.lit(after)), lambda k: F.get(words, at + k))
 
 
-def _bit_array(hashes: DataFrame, bits: int) -> Column:
+def bit_array(hashes: DataFrame, bits: int) -> Column:
     """A scalar subquery: ``bits`` bits in an array of ints, set at the place of each __h."""
     place = F.pmod(F.col("__h"), F.lit(bits))
     word = hashes.select(F.shiftright(place, 5).cast("int").alias("w"), (place % 32).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("b"))).alias("v"))
@@ -109,7 +109,7 @@ def find_overlaps(
 
     # 64 to 128 bits a window keep chance passes near 1 %; at most 64 MB of bits.
     bits = max(1 << 16, 1 << (64 * min(n, 1 << 22)).bit_length())
-    array = _bit_array(table, bits)
+    array = bit_array(table, bits)
     hashed = docs.select(F.col(key).alias("__id"), word_hashes(F.col(text)).alias("__d"))
     length = F.size("__d")
 

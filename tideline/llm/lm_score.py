@@ -6,51 +6,51 @@ documents marked as such.  A document's score is the mean over its words of the
 loss under the target less that under the background: low values read like the
 target.
 
-The vocabulary has every word that occurs ``least`` times in the corpus, the
-bigram list every pair that does, at any size of the corpus; a word that occurs
-once counts as the unknown word.  All counts are over all documents: each task sums
-its own words and bigrams, in lots of bounded bytes and lists of bounded length,
-and Spark sums those by key.
-
-P(w | v) = MU * c(v, w) / c(v) + (1 - MU * kept(v)) * P(w), kept(v) being the share
-of v's followers that are listed, so each row sums to one.  P(w) adds one to
-every count of the vocabulary.  The document's start is a word of its own.
-
-The loss of a pair is a constant of w, plus one of v, plus, where the pair is
-listed, one of the pair.  Tasks hold the constants of those words and pairs that
-make at least 1 / CACHE of all words, so at most CACHE of each; for all others a
-document's key is joined with the table of constants, and sums return by document.
-A key that many documents hold is thus never dealt.
-
-No task holds the vocabulary.  A word that occurs once has one document, so the
-unknown words travel as a list beside the document that has them.
+    P(w | v) = MU * c(v, w) / c(v) + (1 - MU) * (c(w) + 1) / (N + V + 1)
+
+c are counts over all documents, or over the marked ones in the target model, of N
+words; V words are different.  The vocabulary has every word, the bigram list every
+pair that occurs twice in the corpus, at any size of the corpus; the mass of
+pairs that occur once is left, in both models, for pairs not seen yet.  The
+document's start is a word of its own that stands before its first.
+
+Words that make at least 1 / WORDS of all, and pairs that make 1 / PAIRS, are
+counted first, each task summing its own, and their counts travel to every task:
+at most WORDS and PAIRS of them.  All other words and pairs go, once a document, to
+the task of their key, which counts them and sends back to their documents the
+counts of those that occur twice; what does not come back occurs once, in this
+very document.  So nothing rare is left out, no key that many documents hold is
+dealt, and rows and memory of a task follow the partitions, not the corpus.
 
 Defined cases: null and empty texts have no words, losses and score null, n_words
 0; with no target documents the target model is uniform; repeated rows count and
-score again; labels that are null or missing do not mark a target.
+score again; labels that are null or missing do not mark a target; very long texts
+are handled alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import join_skewed, stored
+from .common import bounded_batches, stored
+from .decontamination import bit_array
 from .tokens import _A, lots, mixed, words
 
 MU = 0.7
 #: Keys that a task sums before it gives them out.
 HELD = 1_000_000
-#: Words, and pairs, that make less than 1 / CACHE of all words are scored by a join.
-CACHE = 2_000_000
-#: Stand for a word that occurs once, the start, and, as a second word: any before, any after, the end.
-UNKNOWN, START, FOLLOWS, PRECEDES, LAST = (int(x) for x in mixed(np.arange(101, 106, dtype=np.uint64)).view(np.int64))
-ROWS = "ref long, v long, w long, n long, lt double, ln double"
+#: Words, and pairs, of at least this part of all words are counted first.
+WORDS, PAIRS = 1_000_000, 1 << 14
+#: The word before a document's first.
+START = int(mixed(np.arange(102, 103, dtype=np.uint64)).view(np.int64)[0])
+Table = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _summed(batches: Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
@@ -77,203 +77,153 @@ def _summed(batches: Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarra
 
 
 def _paired(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mixed(mixed(v.view(np.uint64) * _A) + w.view(np.uint64))
+    return mixed(mixed(v.view(np.uint64) * _A) + w.view(np.uint64)).view(np.int64)
+
+
+def _sequences(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word the one before it, itself, its text; and the bounds of the texts."""
+    w = words(col, lower=True)
+    ids = w.hashes().view(np.int64)
+    before = np.empty(len(ids), np.int64)
+    before[1:] = ids[:-1]
+    before[w.start[:-1][np.diff(w.start) > 0]] = START
+    return before, ids, w.owner(), w.start
 
 
-def _ends(start: np.ndarray) -> np.ndarray:
-    """Places of the last words."""
-    return start[1:][np.diff(start) > 0] - 1
+def _flags(col: pa.Array) -> np.ndarray:
+    return np.asarray(col.cast(pa.int8())).astype(np.int64)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, j) -> word, occurrences, those at an end, the j of one text that has it."""
+    """(text, target) -> words with their occurrences, all and in targets; the start counts documents with words."""
 
     def counted() -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
         for b in lots(batches):
-            w = words(b.column(0), lower=True)
-            h = w.hashes().view(np.int64)
-            end = np.zeros(len(h), np.int64)
-            end[_ends(w.start)] = 1
-            yield h, [np.ones(len(h), np.int64), end], [np.asarray(b.column(1))[w.owner()]]
+            _, w, owner, start = _sequences(b.column(0))
+            flag = _flags(b.column(1))
+            full = np.flatnonzero(np.diff(start) > 0)
+            t = np.concatenate([flag[owner], flag[full]])
+            yield np.concatenate([w, np.full(len(full), START)]), [np.ones(len(t), np.int64), t], []
 
-    for k, sums, own in _summed(counted()):
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, *sums, *own)], ["k", "n", "e", "j"])
+    for k, sums, _ in _summed(counted()):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, *sums)], ["k", "n", "t"])
 
 
-def _pairs(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, list of words that occur once, ...) -> of each word the one before it, itself, its text; and the bounds of the texts."""
-    w = words(b.column(0), lower=True)
-    ids = w.hashes().view(np.int64).copy()
-    ids[np.isin(ids, np.asarray(b.column(1).flatten()).astype(np.int64))] = UNKNOWN
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[w.start[:-1][np.diff(w.start) > 0]] = START
-    return before, ids, w.owner(), w.start
+def _table(rows: pa.Table) -> Table:
+    """Keys in order with their counts."""
+    k = np.asarray(rows["k"]).astype(np.int64)
+    order = np.argsort(k)
+    return k[order], np.asarray(rows["n"]).astype(np.int64)[order], np.asarray(rows["t"]).astype(np.int64)[order]
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, once, target) -> pairs with their occurrences, all and in targets; for targets also single words and last ones."""
+def _places(table: Table, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are in a table, and where."""
+    if not len(table[0]):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    return table[0][at] == keys, at
 
-    def counted() -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
-        for b in lots(batches):
-            v, w, owner, start = _pairs(b)
-            t = np.asarray(b.column(2).cast(pa.int8())).astype(np.int64)[owner]
-            own, ends = w[t > 0], w[_ends(start)][t[_ends(start)] > 0]
-            v = np.concatenate([v, own, ends])
-            w = np.concatenate([w, np.full(len(own), FOLLOWS), np.full(len(ends), LAST)])
-            yield _paired(v, w), [np.ones(len(v), np.int64), np.concatenate([t, np.ones(len(v) - len(t), np.int64)])], [v, w]
-
-    for _, sums, own in _summed(counted()):
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, *sums)], ["v", "w", "n", "t"])
-
-
-class Model(NamedTuple):
-    """once: words that occur once by document; rest: constants of the rarer keys; words, pairs: constants of the others, sorted."""
-
-    once: DataFrame
-    rest: DataFrame
-    words: tuple[np.ndarray, np.ndarray]
-    pairs: tuple[np.ndarray, np.ndarray]
-
-
-def _place(docs: DataFrame, key: str, text: str) -> Column:
-    """What a document's list of unknown words is found by; documents that share it only share the list."""
-    own = F.xxhash64(key) if key in docs.columns else F.xxhash64(text)
-    return F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(own) if key in docs.columns else own
-
-
-def _with_once(docs: DataFrame, once: DataFrame, key: str, text: str) -> DataFrame:
-    docs = docs if "__j" in docs.columns else docs.withColumn("__j", _place(docs, key, text))
-    return docs.join(once.hint("merge"), "__j", "left").withColumn("once", F.coalesce("once", F.array().cast("array<bigint>")))
-
-
-def _arrays(keys: np.ndarray, rows: pa.Table, names: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    return keys[order], np.array([np.asarray(rows[c]).astype(float)[order] for c in names])
-
-
-def fit(docs: DataFrame, least: int = 2, text: str = "text", target: str = "target", plain: DataFrame | None = None, key: str = "doc_id") -> Model:
-    """docs(text, target boolean) -> the model; ``plain`` may give the same rows unmarked, so that words are counted without the marks' join."""
-    if least not in (1, 2):
-        raise ValueError("a word is unknown if it occurs once (least = 2) or never (least = 1)")
-    source = docs if plain is None else plain
-    place = F.col("__j") if "__j" in source.columns else _place(source, key, text)
-    counted = source.select(text, place.alias("j")).mapInArrow(_word_counts, "k long, n long, e long, j long")
-    counted = stored(counted.groupBy("k").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.max("j").alias("j")), "word-counts")
-    got = counted.agg(F.sum("n"), F.sum("e"), F.count_if(F.col("n") >= least)).first()
-    total, starts, size = got[0] or 0, got[1] or 0, got[2] + 2
-    once = stored(counted.where(F.col("n") < least).groupBy(F.col("j").alias("__j")).agg(F.collect_list("k").alias("once")), "unknown-words")
-
-    marked = _with_once(docs, once, key, text).select(F.col(text), "once", F.coalesce(F.col(target), F.lit(False)).alias("t"))
-    rows = marked.mapInArrow(_pair_counts, "v long, w long, n long, t long").groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    special = F.col("w").isin(FOLLOWS, LAST)
-    kept = stored(rows.where((F.col("n") >= least) | special), "pair-counts")
-    listed = kept.where(~special)
-    marks = kept.where(special).agg(F.sum(F.when(F.col("w") == FOLLOWS, F.col("t"))), F.sum(F.when(F.col("w") == LAST, F.col("t")))).first()
-    t_total, t_starts = marks[0] or 0, marks[1] or 0
-
-    # One row a word: occurrences n, t; at an end en, et; followers that are listed kn, kt.
-    zero = F.lit(0).cast("long")
-    known = F.when(F.col("n") < least, F.lit(UNKNOWN)).otherwise(F.col("k")).alias("k")
-    follows = F.col("w") == FOLLOWS
-    facts = counted.select(known, "n", zero.alias("t"), F.col("e").alias("en"), zero.alias("et"), zero.alias("kn"), zero.alias("kt"))
-    facts = facts.unionByName(kept.where(special).select(F.col("v").alias("k"), zero.alias("n"), F.when(follows, F.col("t")).otherwise(0).alias("t"), zero.alias("en"), F.when(follows, 0).otherwise(F.col("t")).alias("et"), zero.alias("kn"), zero.alias("kt")))
-    facts = facts.unionByName(listed.select(F.col("v").alias("k"), zero.alias("n"), zero.alias("t"), zero.alias("en"), zero.alias("et"), F.col("n").alias("kn"), F.col("t").alias("kt")))
-    facts = facts.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("n", "t", "en", "et", "kn", "kt")))
-    begins = F.col("k") == START
-    facts = facts.select(
-        "k", F.when(begins, F.lit(starts)).otherwise(F.col("n")).alias("n"), F.col("t"), "kn", "kt",
-        F.greatest(F.when(begins, F.lit(starts)).otherwise(F.col("n") - F.col("en")), F.lit(1)).alias("cn"),
-        F.greatest(F.when(begins, F.lit(t_starts)).otherwise(F.col("t") - F.col("et")), F.lit(1)).alias("ct"),
-        F.when(begins, zero).otherwise(F.col("n")).alias("sn"),
-    )
-    # p: probability of the word alone; u: what single words get after it; c: how often it stands before another.
-    own = stored(facts.select(
-        "k", "n", "cn", "ct",
-        ((F.col("sn") + 1.0) / (total + size)).alias("pn"), ((F.col("t") + 1.0) / (t_total + size)).alias("pt"),
-        (1 - MU * F.col("kn") / F.col("cn")).alias("un"), (1 - MU * F.col("kt") / F.col("ct")).alias("ut"),
-    ), "words")
-    # A first pair of a document whose start is not in any listed pair still needs the start's constants.
-    if not own.where(F.col("k") == START).limit(1).count():
-        own = own.unionByName(own.sparkSession.createDataFrame([(START, starts, max(starts, 1), max(t_starts, 1), 1.0 / (total + size), 1.0 / (t_total + size), 1.0, 1.0)], own.schema))
-
-    floor = total / CACHE
-    before = own.select(F.col("k").alias("v"), F.col("n").alias("__nv"), "cn", "ct", "un", "ut")
-    after = own.select(F.col("k").alias("w"), F.col("n").alias("__nw"), "pn", "pt")
-
-    def gains(pairs: DataFrame) -> DataFrame:
-        both = join_skewed(join_skewed(pairs, before, ["v"], "__nv", total), after, ["w"], "__nw", total)
-        gain = lambda c: -F.log1p(MU * F.col(c) / (F.col("c" + c) * F.col("u" + c) * F.col("p" + c)))
-        return both.select("v", "w", gain("t").alias("xt"), gain("n").alias("xn"))
-
-    # At most CACHE rows each come to the driver.
-    many = own.where(F.col("n") >= floor).select("k", *(-F.log(c) for c in ("pt", "pn", "ut", "un"))).toDF("k", "pt", "pn", "ut", "un").toArrow()
-    common = gains(listed.where(F.col("n") >= floor)).toArrow()
-    v, w = (np.asarray(common[c]).astype(np.int64) for c in "vw")
-    few = own.where(F.col("n") < floor)
-    rest = gains(listed.where(F.col("n") < floor))
-    for kind, c in ((FOLLOWS, "p"), (PRECEDES, "u")):
-        rest = rest.unionByName(few.select(F.col("k").alias("v"), F.lit(kind).alias("w"), (-F.log(c + "t")).alias("xt"), (-F.log(c + "n")).alias("xn")))
-    return Model(once, rest, _arrays(np.asarray(many["k"]).astype(np.int64), many, ("pt", "pn", "ut", "un")), _arrays(_paired(v, w), common, ("xt", "xn")))
-
-
-def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each key is in the table, and its constants, 0 where it is not."""
-    own, values = table
-    if not len(own):
-        return np.zeros(len(keys), bool), np.zeros((len(values), len(keys)))
-    at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-    hit = own[at] == keys
-    return hit, np.where(hit, values[:, at], 0.0)
-
-
-def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Adds n_words, loss_target, loss_background and score (target less background), per word."""
-    new = ("n_words", "loss_target", "loss_background", "score")
-    slim = docs.drop(*(c for c in new if c != text))
-    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.pairs))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def score(docs: DataFrame, text: str = "text", target: str = "target") -> DataFrame:
+    """docs(text, target boolean) with n_words, loss_target, loss_background and score (target less background), per word."""
+    new = ("n_words", "loss_target", "loss_background", "score")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    slim = docs.drop(*(c for c in new if c != text)).withColumn(target, F.coalesce(F.col(target), F.lit(False)))
+    texts = slim.select(text, target)
+    counted = stored(texts.mapInArrow(_word_counts, "k long, n long, t long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "word-counts")
+    own = F.col("k") != START
+    got = counted.agg(F.sum(F.when(own, F.col("n"))), F.sum(F.when(own, F.col("t"))), F.count_if(own)).first()
+    total, t_total, size = got[0] or 0, got[1] or 0, got[2]
+    # At most WORDS rows, and the start; of those a few may be in frequent pairs.
+    common = _table(counted.where((F.col("n") >= total / WORDS) | ~own).toArrow())
+    often = common[0][common[1] >= total / PAIRS]
+    before_all = spark.sparkContext.broadcast((common, np.union1d(often, np.array([START]))))
+
+    def frequent_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = before_all.value[1]
+
+        def pairs() -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+            for b in lots(batches):
+                v, w, owner, _ = _sequences(b.column(0))
+                at = np.flatnonzero(np.isin(v, among) & np.isin(w, among))
+                yield _paired(v[at], w[at]), [np.ones(len(at), np.int64), _flags(b.column(1))[owner[at]]], []
+
+        for k, sums, _ in _summed(pairs()):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, *sums)], ["k", "n", "t"])
+
+    found = texts.mapInArrow(frequent_pairs, "k long, n long, t long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    shared = spark.sparkContext.broadcast((common, _table(found.where(F.col("n") >= max(total / PAIRS, 2)).toArrow())))  # at most PAIRS rows
+
+    def rare_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         singles, pairs = shared.value
         for b in lots(batches):
-            v, w, owner, start = _pairs(b)
-            ref = np.asarray(b.column(2))
-            after, p = _found(singles, w)
-            ahead, u = _found(singles, v)
-            k = _paired(v, w)
-            hit, x = _found(pairs, k)
-            known = [np.bincount(owner, p[i] + u[i + 2] + x[i], b.num_rows) for i in (0, 1)]
-            # Keys that are not held here: each once a document, with its number there.
-            vs = np.concatenate([v[~hit], w[~after], v[~ahead]])
-            ws = np.concatenate([w[~hit], np.full((~after).sum(), FOLLOWS), np.full((~ahead).sum(), PRECEDES)])
-            os = np.concatenate([owner[~hit], owner[~after], owner[~ahead]])
-            _, at, n = np.unique(_paired(_paired(vs, ws), os), return_index=True, return_counts=True)
-            full = np.flatnonzero(np.diff(start) > 0)
-            none = np.zeros(len(full), np.int64)
-            lone = np.arange(len(at) + len(full)) < len(at)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([ref[os[at]], ref[full]])), pa.array(np.concatenate([vs[at], ref[full]])), pa.array(np.concatenate([ws[at], none])),
-                pa.array(np.concatenate([n, np.diff(start)[full]])), *(pa.array(np.concatenate([np.zeros(len(at)), x[full]]), mask=lone) for x in known),
-            ], ["ref", "v", "w", "n", "lt", "ln"])
-
-    # Equal rows have one reference and one score: their sums are of both, and so are their words.
+            v, w, owner, _ = _sequences(b.column(0))
+            keys = _paired(v, w)
+            a, c = np.flatnonzero(~_places(singles, w)[0]), np.flatnonzero(~_places(pairs, keys)[0])
+            k, o = np.concatenate([w[a], keys[c]]), np.concatenate([owner[a], owner[c]])
+            # Once a document, with its number there; the lowest bit tells whether the document is a target.
+            order = np.lexsort((k, o))
+            k, o = k[order], o[order]
+            at = np.flatnonzero(np.r_[len(k) > 0, (k[1:] != k[:-1]) | (o[1:] != o[:-1])])
+            m = 2 * np.diff(np.r_[at, len(k)]) + _flags(b.column(1))[o[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(k[at]), b.column(2).take(pa.array(o[at])), pa.array(m)], ["k", "ref", "m"])
+
+    # Equal rows share a reference; each of them is counted, and each gets what comes back.
     ref = F.xxhash64(*slim.columns)
-    texts = _with_once(slim.withColumn("__ref", ref), model.once, key, text).select(F.col(text), "once", "__ref")
-    rows = texts.mapInArrow(run, ROWS).select("ref", F.xxhash64("v", "w").alias("k"), "n", "lt", "ln")
-    rest = model.rest.select(F.xxhash64("v", "w").alias("k"), "xt", "xn")
-    met = rows.join(rest.hint("merge"), "k", "left")
-    value = lambda c: F.sum(F.coalesce("l" + c, F.col("x" + c) * F.col("n"), F.lit(0.0))).alias("l" + c)
-    sums = met.groupBy(F.col("ref").alias("__ref")).agg(value("t"), value("n"), F.sum(F.when(F.col("lt").isNotNull(), F.col("n"))).alias("__n"), F.count("lt").alias("__rows"))
-    sums = sums.select("__ref", "__n", "__rows", (F.col("lt") / F.col("__n")).alias("__lt"), (F.col("ln") / F.col("__n")).alias("__ln"))
-    out = slim.withColumn("__ref", ref).join(sums.hint("merge"), "__ref", "left")
-    n_words = F.coalesce((F.col("__n") / F.col("__rows")).cast("long"), F.lit(0).cast("long"))
-    return out.select(*slim.columns, n_words.alias(new[0]), F.col("__lt").alias(new[1]), F.col("__ln").alias(new[2]), (F.col("__lt") - F.col("__ln")).alias(new[3]))
+    met = slim.select(text, target, ref.alias("ref")).mapInArrow(rare_keys, "k long, ref long, m long")
+    key = W.partitionBy("k")
+    times, flagged = F.shiftright("m", 1), F.when(F.col("m").bitwiseAND(F.lit(1)) == 1, F.shiftright("m", 1)).otherwise(0)
+    back = met.select("ref", "k", F.sum(times).over(key).alias("n"), F.sum(flagged).over(key).alias("t")).where("n >= 2")
+    lists = back.groupBy("ref").agg(F.collect_list(F.struct("k", "n", "t")).alias("__rare")).withColumnRenamed("ref", "__ref")
+    joined = slim.withColumn("__ref", ref).join(lists.hint("merge"), "__ref", "left").drop("__ref")
+    names = slim.columns
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        singles, pairs = shared.value
+        for b in lots(batches, names.index(text)):
+            v, w, owner, start = _sequences(b.column(names.index(text)))
+            flag = _flags(b.column(names.index(target)))
+            rare = b.column(len(names)).flatten()
+            k, first = np.unique(np.asarray(rare.field("k")).astype(np.int64), return_index=True)
+            own_table = (k, np.asarray(rare.field("n")).astype(np.int64)[first], np.asarray(rare.field("t")).astype(np.int64)[first])
+
+            def count(keys: np.ndarray, often: Table, n: np.ndarray, t: np.ndarray, own_table: Table = own_table) -> tuple[np.ndarray, np.ndarray]:
+                for table in (own_table, often):
+                    hit, at = _places(table, keys)
+                    n[hit], t[hit] = table[1][at[hit]], table[2][at[hit]]
+                return n.astype(float), t.astype(float)
+
+            # What is in no table occurs once, here.
+            nw, tw = count(w, singles, np.ones(len(w), np.int64), flag[owner])
+            nv, tv = count(v, singles, np.ones(len(v), np.int64), flag[owner])
+            nb, tb = count(_paired(v, w), pairs, np.zeros(len(w), np.int64), np.zeros(len(w), np.int64))
+            n_words = np.diff(start)
+            out = []
+            for both, one, all_of_it, n in ((tb, tv, tw, t_total), (nb, nv, nw, total)):
+                loss = -np.log(MU * both / np.maximum(one, 1) + (1 - MU) * (all_of_it + 1) / (n + size + 1))
+                out.append(pa.array(np.bincount(owner, loss, b.num_rows) / np.maximum(n_words, 1), mask=n_words == 0))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(n_words.astype(np.int64)), *out], [*names, *new[:3]])
+
+    schema = T.StructType([*slim.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("loss_target", T.DoubleType()), T.StructField("loss_background", T.DoubleType())])
+    return joined.mapInArrow(losses, schema).withColumn("score", F.col("loss_target") - F.col("loss_background"))
+
+
+def marked(docs: DataFrame, ids: DataFrame, key: str, target: str = "target") -> DataFrame:
+    """docs with whether their key is among ids(key); only texts that may be marked, by a bit array of the ids, are dealt by key."""
+    ids = stored(ids.where(F.col(key).isNotNull()).select(F.col(key).cast(docs.schema[key].dataType).alias("__key")).distinct(), "target-ids")
+    n = ids.count()
+    if not n:
+        return docs.withColumn(target, F.lit(False))
+    bits = min(1 << 25, max(1 << 16, 1 << (16 * n).bit_length()))
+    array = bit_array(ids.select(F.xxhash64("__key").alias("__h")), bits)
+    p = F.pmod(F.xxhash64(key), F.lit(bits))
+    maybe = F.coalesce(F.col(key).isNotNull() & (F.getbit(F.get(array, F.shiftright(p, 5).cast("int")), (p % 32).cast("int")) == 1), F.lit(False))
+    dealt = docs.where(maybe).join(ids.withColumn(target, F.lit(True)).hint("merge"), F.col(key) == F.col("__key"), "left").select(*docs.columns, F.coalesce(target, F.lit(False)).alias(target))
+    return docs.where(~maybe).withColumn(target, F.lit(False)).unionByName(dealt)
 
 
 def op2_lm_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All documents scored; the target is the documents that a label marks as of good quality."""
-    docs = docs.select("doc_id", "text")
-    good = labels.where("quality = 1 and doc_id is not null").select(F.xxhash64(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).alias("__j")).distinct()
-    # The texts are dealt by id once, for the marks and the unknown words; the plan is the same at every size.
-    marked = docs.withColumn("__j", _place(docs, "doc_id", "text")).join(good.withColumn("target", F.lit(True)).hint("merge"), "__j", "left")
-    return score(docs, fit(marked, plain=docs)).drop("text")
+    docs = marked(docs.select("doc_id", "text"), labels.where("quality = 1").select("doc_id"), "doc_id")
+    return score(docs).drop("text", "target")
