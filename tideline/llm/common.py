@@ -7,6 +7,7 @@ their names cannot clash with its own.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,6 +76,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that no plan needs any more; it does so as the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Bounds the bytes of the Arrow batches that go to Python workers, unless the session has a lower bound.
 

@@ -14,13 +14,14 @@ pair that occurs twice in the corpus, at any size of the corpus; the mass of
 pairs that occur once is left, in both models, for pairs not seen yet.  The
 document's start is a word of its own that stands before its first.
 
-Words that make at least 1 / WORDS of all, and pairs that make 1 / PAIRS, are
-counted first, each task summing its own, and their counts travel to every task:
-at most WORDS and PAIRS of them.  All other words and pairs go, once a document, to
-the task of their key, which counts them and sends back to their documents the
-counts of those that occur twice; what does not come back occurs once, in this
-very document.  So nothing rare is left out, no key that many documents hold is
-dealt, and rows and memory of a task follow the partitions, not the corpus.
+Words that make at least 1 / WORDS of all, and pairs that make 1 / PAIRS of a part of
+the texts, are counted first, over all texts, each task summing its own, and their
+counts travel to every task: at most WORDS and PAIRS of them.  All other words and
+pairs go, once a document, to the task of their key, which counts them and sends
+back to their documents the counts of those that occur twice; what does not come
+back occurs once, in this very document.  So nothing rare is left out, no key that
+many documents hold is dealt, and rows and memory of a task follow the partitions,
+not the corpus.  Which pairs are counted first decides the cost alone, not a score.
 
 Defined cases: null and empty texts have no words, losses and score null, n_words
 0; with no target documents the target model is uniform; repeated rows count and
@@ -30,24 +31,25 @@ are handled alone; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, drop_shuffles, stored
 from .decontamination import bit_array
 from .tokens import _A, lots, mixed, words
 
 MU = 0.7
 #: Keys that a task sums before it gives them out.
 HELD = 1_000_000
-#: Words, and pairs, of at least this part of all words are counted first.
-WORDS, PAIRS = 1_000_000, 1 << 14
+#: Words, and pairs, of at least this part of all words are counted first; pairs are chosen on one of PART texts.
+WORDS, PAIRS, PART = 1_000_000, 1_000_000, 16
 #: The word before a document's first.
 START = int(mixed(np.arange(102, 103, dtype=np.uint64)).view(np.int64)[0])
 Table = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -135,25 +137,34 @@ def score(docs: DataFrame, text: str = "text", target: str = "target") -> DataFr
     own = F.col("k") != START
     got = counted.agg(F.sum(F.when(own, F.col("n"))), F.sum(F.when(own, F.col("t"))), F.count_if(own)).first()
     total, t_total, size = got[0] or 0, got[1] or 0, got[2]
-    # At most WORDS rows, and the start; of those a few may be in frequent pairs.
+    # At most WORDS rows, and the start.
     common = _table(counted.where((F.col("n") >= total / WORDS) | ~own).toArrow())
-    often = common[0][common[1] >= total / PAIRS]
-    before_all = spark.sparkContext.broadcast((common, np.union1d(often, np.array([START]))))
 
-    def frequent_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        among = before_all.value[1]
+    def pair_counts(among: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def pairs() -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+                for b in lots(batches):
+                    v, w, owner, _ = _sequences(b.column(0))
+                    keys, flag = _paired(v, w), _flags(b.column(1))[owner]
+                    if among is not None:
+                        at = np.flatnonzero(_places((among.value,) * 3, keys)[0])
+                        keys, flag = keys[at], flag[at]
+                    yield keys, [np.ones(len(keys), np.int64), flag], []
 
-        def pairs() -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
-            for b in lots(batches):
-                v, w, owner, _ = _sequences(b.column(0))
-                at = np.flatnonzero(np.isin(v, among) & np.isin(w, among))
-                yield _paired(v[at], w[at]), [np.ones(len(at), np.int64), _flags(b.column(1))[owner[at]]], []
+            for k, sums, _ in _summed(pairs()):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, *sums)], ["k", "n", "t"])
 
-        for k, sums, _ in _summed(pairs()):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, *sums)], ["k", "n", "t"])
+        return run
 
-    found = texts.mapInArrow(frequent_pairs, "k long, n long, t long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    shared = spark.sparkContext.broadcast((common, _table(found.where(F.col("n") >= max(total / PAIRS, 2)).toArrow())))  # at most PAIRS rows
+    def summed(rows: DataFrame, among: Broadcast | None) -> DataFrame:
+        return rows.mapInArrow(pair_counts(among), "k long, n long, t long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+    part = texts.where(F.pmod(F.xxhash64(text), F.lit(PART)) == 0)
+    # The counts of a part sum to its words, so at most about PAIRS / PART pairs reach the floor, and PAIRS in any case.
+    chosen = summed(part, None).where(F.col("n") >= max(total / PART / PAIRS, 2)).orderBy(F.desc("n"), "k").limit(PAIRS).select("k").toArrow()
+    among = spark.sparkContext.broadcast(np.sort(np.asarray(chosen["k"]).astype(np.int64)))
+    found = summed(texts, among).where("n >= 2").toArrow()
+    shared = spark.sparkContext.broadcast((common, _table(found)))
 
     def rare_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         singles, pairs = shared.value
@@ -174,7 +185,8 @@ def score(docs: DataFrame, text: str = "text", target: str = "target") -> DataFr
     met = slim.select(text, target, ref.alias("ref")).mapInArrow(rare_keys, "k long, ref long, m long")
     key = W.partitionBy("k")
     times, flagged = F.shiftright("m", 1), F.when(F.col("m").bitwiseAND(F.lit(1)) == 1, F.shiftright("m", 1)).otherwise(0)
-    back = met.select("ref", "k", F.sum(times).over(key).alias("n"), F.sum(flagged).over(key).alias("t")).where("n >= 2")
+    back = stored(met.select("ref", "k", F.sum(times).over(key).alias("n"), F.sum(flagged).over(key).alias("t")).where("n >= 2"), "rare-counts")
+    drop_shuffles(spark)
     lists = back.groupBy("ref").agg(F.collect_list(F.struct("k", "n", "t")).alias("__rare")).withColumnRenamed("ref", "__ref")
     joined = slim.withColumn("__ref", ref).join(lists.hint("merge"), "__ref", "left").drop("__ref")
     names = slim.columns
