@@ -62,7 +62,12 @@ def test_empty_table(spark):
     assert ngram_join.op4_ngram_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_components_of_chains_and_stars(spark, monkeypatch, few):
+    from tideline.llm import components as module
+
+    monkeypatch.setattr(module, "FEW", few)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(300, 299), (298, 300), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()}
     want = {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)} | {i: 298 for i in (298, 299, 300)}
