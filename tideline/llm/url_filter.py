@@ -167,7 +167,8 @@ def judge_urls(
     said = {h.translate(low) + p: v for v, h, p in rules}
     if any(said[h.translate(low) + p] != v for v, h, p in rules):
         raise ValueError("two rules of one host and path differ in their verdict")
-    listed = spark.createDataFrame(list(said.items()), "k string, v string")
+    # As literals, so that no Python worker makes the rows.
+    listed = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in said.items()])))
     out = out.withColumn("__keys", url_keys(F.col("host"), F.col("path"), lengths))
     known = build_cascade(listed.select("k"), out.select(F.explode("__keys").alias("k")), max_bits=max_bits)
     blocks = build_cascade(listed.where("v = 'block'").select("k"), listed.select("k"), max_bits=max_bits)
