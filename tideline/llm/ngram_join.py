@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_skewed, stored
+from .common import bounded_batches, drop_shuffles, join_skewed, stored
 from .components import components
 from .tokens import lots, mixed, windows, words
 
@@ -337,7 +337,9 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, text: str) -> DataFrame:
             good.append(100 * both >= 80 * (len(x) + len(y) - both))
         return links.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return stored(dealt.groupBy("task").cogroup(sent.groupBy("to")).applyInArrow(compare, "a long, b long"), "links")
+    links = stored(dealt.groupBy("task").cogroup(sent.groupBy("to")).applyInArrow(compare, "a long, b long"), "links")
+    drop_shuffles(spark)
+    return links
 
 
 def _ordered(a: str, b: str, n: str, m: str) -> list:
@@ -422,11 +424,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, text: str = "text", key: str =
 
     runs = prefixes(docs, bands, k, text).repartition("t").sortWithinPartitions("t", "n", "cls").select("t", "n", "cls", "p")
     met = stored(runs.mapInArrow(lambda batches: _pairs_of_runs(batches, long), "kind int, a long, b long, n long, p long, m long"), "met")
+    drop_shuffles(docs.sparkSession)
     one = met.where("kind = 1").select("a", "b", "n", "m").distinct()
     entries = met.where("kind = 3").select(F.col("a").alias("t"), F.col("b").alias("cls"), "n", "p").distinct()
     weight = entries.groupBy("cls").agg(F.count(F.lit(1)).alias("w"))
     wanted = bit_array(one.select(F.col("a").alias("cls")).union(one.select("b")).union(entries.select("cls")), "cls")
     sets = stored(prefix_sets(docs, bands, k, text, wanted), "prefix-sets")
+    drop_shuffles(docs.sparkSession)
     pairs = stored(_meeting_twice(one, sets), "twice-met")
     entries = stored(entries, "long-entries")
     total = entries.count()
