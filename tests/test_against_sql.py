@@ -28,3 +28,7 @@ def compare(spark, folder, name, events):
 def test_division_by_a_signal_of_zero(spark, tmp_path):
     got = compare(spark, tmp_path, "combine_divide", [(u, "view", v) for u in range(3) for v in (0.0, 2.0, -0.0, -3.0)])
     assert got["result"].isna().sum() == 6
+
+
+def test_directions_on_the_edges_of_pixels(spark, tmp_path):
+    compare(spark, tmp_path, "scan_synchronous", [(u, "view", 1.0) for u in (0, 15) for _ in range(360)])

@@ -92,9 +92,11 @@ def scan_synchronous(df: DataFrame, ground: DataFrame, nside: int, power: float
     """Adds a signal fixed to the ground: df(az, el in degrees), ground(pixel in ring order, value).
 
     The map is scaled by (elevation / 90 + 0.5) ** power, and read at longitude -az.
+    A direction on the edge of pixels falls to one by the last bit, so it is that of the unit vector, not of the angles.
     """
     lon, lat = F.radians(-F.col("az")), F.radians("el")
-    seen = healpix.ang_pixel(df, F.pi() / 2 - lat, lon, nside, "__pixel", nest=False)
+    x, y = F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon)
+    seen = healpix.ring_pixel(df, F.sin(lat), F.atan2(y, x), nside, "__pixel")
     got = seen.join(ground.select(F.col("pixel").alias("__pixel"), F.col("value").alias("__v")), "__pixel", "left")
     level = scale * F.coalesce("__v", F.lit(0.0)) * F.pow(F.abs(F.col("el")) / 90 + 0.5, F.lit(power))
     return got.withColumn("signal", F.col("signal") + F.when(good(mask=mask), level).otherwise(0.0)).drop("__pixel", "__v")
