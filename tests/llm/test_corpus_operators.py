@@ -2,13 +2,14 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import boosting, decontamination, html_text, lm_score, toxicity
+from tideline.llm import boosting, common, decontamination, html_text, lm_score, toxicity
 
 
 def sentence(rng, n):
@@ -127,6 +128,24 @@ def test_lm_score_counts_rare_keys_at_any_size(spark, monkeypatch):
         assert got[0].n_words == 2_200_000
 
 
+def test_lm_score_moves_and_stores_few_bytes(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(400)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(texts)], "doc_id long, text string, target boolean").coalesce(2)
+    sc, there = spark.sparkContext, common.folders(spark)
+    sc.setJobGroup("lm-bytes", "")
+    try:
+        lm_score.score(docs).write.parquet(str(tmp_path / "out"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    store, tracker, moved = sc._jsc.sc().statusStore(), sc.statusTracker(), 0
+    for stage in {x for j in tracker.getJobIdsForGroup("lm-bytes") for x in tracker.getJobInfo(j).stageIds}:
+        if tracker.getStageInfo(stage).numCompletedTasks:
+            moved += store.lastStageAttempt(stage).shuffleWriteBytes()
+    stored = sum(f.stat().st_size for d in common.folders(spark) - there for f in Path(d.removeprefix("file:")).rglob("*.parquet"))
+    assert 0 < moved + stored < 3 * sum(map(len, texts))  # a row for each document's rare keys took 3.7 times
+
+
 def test_isotonic_line_is_the_best_rising_fit():
     raw = np.array([0.0, 1, 1, 2, 3, 4, 5])
     line = boosting.fit_isotonic(raw, np.array([0.0, 1, 0, 0, 1, 1, 1]))

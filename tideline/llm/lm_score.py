@@ -14,14 +14,13 @@ pair that occurs twice in the corpus, at any size of the corpus; the mass of
 pairs that occur once is left, in both models, for pairs not seen yet.  The
 document's start is a word of its own that stands before its first.
 
-Words that make at least 1 / WORDS of all, and pairs that make 1 / PAIRS of a part of
-the texts, are counted first, over all texts, each task summing its own, and their
-counts travel to every task: at most WORDS and PAIRS of them.  All other words and
-pairs go, once a document, to the task of their key, which counts them and sends
-back to their documents the counts of those that occur twice; what does not come
-back occurs once, in this very document.  So nothing rare is left out, no key that
-many documents hold is dealt, and rows and memory of a task follow the partitions,
-not the corpus.  Which pairs are counted first decides the cost alone, not a score.
+The texts are first stored in lots of a few MB, a row each.  A lot sends each of its
+words and pairs once, with its counts in all texts and in targets, to the bucket of its
+hash, as sorted keys of which the differences are packed.  A bucket sums them and
+sends back what the other lots add, in the order in which the keys came, so no key
+travels twice; most of it is zeros, as most keys are in one lot alone.  Nothing rare is
+left out, no key has more than a row a lot, and the rows and memory of a task follow the
+size of buckets and lots, not of the corpus.
 
 Defined cases: null and empty texts have no words, losses and score null, n_words
 0; with no target documents the target model is uniform; repeated rows count and
@@ -31,13 +30,12 @@ are handled alone; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,47 +44,35 @@ from .decontamination import bit_array
 from .tokens import _A, lots, mixed, words
 
 MU = 0.7
-#: Keys that a task sums before it gives them out.
-HELD = 1_000_000
-#: Words, and pairs, of at least this part of all words are counted first; pairs are chosen on one of PART texts.
-WORDS, PAIRS, PART = 1_000_000, 1_000_000, 16
-#: The word before a document's first.
-START = int(mixed(np.arange(102, 103, dtype=np.uint64)).view(np.int64)[0])
-Table = tuple[np.ndarray, np.ndarray, np.ndarray]
-
-
-def _summed(batches: Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
-    """(keys, weights, companions) -> distinct keys, sums of their weights, a companion of each; at most about ``HELD`` keys are held."""
-    held: list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]] = []
-
-    def merged(parts: list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        keys = np.concatenate([p[0] for p in parts])
-        order = np.argsort(keys)
-        keys = keys[order]
-        at = np.flatnonzero(np.r_[len(keys) > 0, keys[1:] != keys[:-1]])
-        sums = [np.concatenate(x)[order] for x in zip(*(p[1] for p in parts), strict=True)]
-        own = [np.concatenate(x)[order[at]] for x in zip(*(p[2] for p in parts), strict=True)]
-        return keys[at], [np.add.reduceat(x, at) if len(at) else x for x in sums], own
-
-    for part in batches:
-        held.append(merged([part]))
-        if sum(len(x[0]) for x in held) > HELD:
-            held = [merged(held)]
-            if len(held[0][0]) > HELD // 2:
-                yield held.pop()
-    if held:
-        yield merged(held)
+#: About so many words of the corpus send their keys to one bucket.
+WORDS = 1_000_000
+#: Rows of a lot at most, and bytes of its texts unless one text alone has more.
+LOT, LOT_BYTES = 10_000, 4 << 20
+#: The word before a document's first; the lowest bit of a key is 0 for words, 1 for pairs.
+START = int(mixed(np.arange(102, 103, dtype=np.uint64))[0]) & ~1
+_ONE = np.uint64(1)
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned 64-bit numbers, of one length, byte by byte of their rank: the zeros above small numbers lie together."""
+    x = np.stack(columns)
+    return pa.compress(x.view(np.uint8).reshape(*x.shape, 8).transpose(0, 2, 1).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, columns: int) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(data, 8 * n * columns, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(columns, 8, n).transpose(0, 2, 1)).view(np.uint64)[:, :, 0]
 
 
 def _paired(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mixed(mixed(v.view(np.uint64) * _A) + w.view(np.uint64)).view(np.int64)
+    return mixed(mixed(v * _A) + w)
 
 
 def _sequences(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each word the one before it, itself, its text; and the bounds of the texts."""
     w = words(col, lower=True)
-    ids = w.hashes().view(np.int64)
-    before = np.empty(len(ids), np.int64)
+    ids = w.hashes() & ~_ONE
+    before = np.empty(len(ids), np.uint64)
     before[1:] = ids[:-1]
     before[w.start[:-1][np.diff(w.start) > 0]] = START
     return before, ids, w.owner(), w.start
@@ -96,34 +82,66 @@ def _flags(col: pa.Array) -> np.ndarray:
     return np.asarray(col.cast(pa.int8())).astype(np.int64)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, target) -> words with their occurrences, all and in targets; the start counts documents with words."""
-
-    def counted() -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
-        for b in lots(batches):
-            _, w, owner, start = _sequences(b.column(0))
-            flag = _flags(b.column(1))
-            full = np.flatnonzero(np.diff(start) > 0)
-            t = np.concatenate([flag[owner], flag[full]])
-            yield np.concatenate([w, np.full(len(full), START)]), [np.ones(len(t), np.int64), t], []
-
-    for k, sums, _ in _summed(counted()):
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, *sums)], ["k", "n", "t"])
-
-
-def _table(rows: pa.Table) -> Table:
-    """Keys in order with their counts."""
-    k = np.asarray(rows["k"]).astype(np.int64)
-    order = np.argsort(k)
-    return k[order], np.asarray(rows["n"]).astype(np.int64)[order], np.asarray(rows["t"]).astype(np.int64)[order]
-
-
-def _places(table: Table, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys are in a table, and where."""
-    if not len(table[0]):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-    return table[0][at] == keys, at
+class _Keys:
+    """The words and pairs of a lot of texts: distinct keys in order, their counts in all texts and in targets, and where each word's are."""
+
+    def __init__(self, texts: pa.Array, targets: pa.Array) -> None:
+        v, w, owner, self.start = _sequences(texts)
+        flag = _flags(targets)
+        full = np.flatnonzero(np.diff(self.start) > 0)
+        # The start counts documents with words.
+        every = np.concatenate([w, _paired(v, w) | _ONE, np.full(len(full), START, np.uint64)])
+        self.keys, at = np.unique(every, return_inverse=True)
+        self.owner, self.word, self.pair = owner, at[: len(w)], at[len(w) : 2 * len(w)]
+        self.before = np.empty(len(w), np.int64)
+        self.before[1:] = self.word[:-1]
+        self.before[self.start[full]] = at[-1] if len(full) else 0
+        self.n = np.bincount(at, minlength=len(self.keys)).astype(np.uint64)
+        self.t = np.bincount(at, np.concatenate([flag[owner], flag[owner], flag[full]]), len(self.keys)).astype(np.uint64)
+
+
+def _read(data: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data) as stream:
+        return stream.read_next_batch()
+
+
+def in_lots(docs: DataFrame, text: str) -> DataFrame:
+    """(lot, bytes, data): the rows of docs in lots, stored; ``bytes`` are those of their texts."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        for k, b in enumerate(lots(batches, at, LOT, LOT_BYTES)):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(b)
+            size = sum(len(x) for x in b.column(at).cast(pa.large_binary()).to_pylist() if x)
+            yield pa.RecordBatch.from_arrays([pa.array([task + k]), pa.array([size]), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["lot", "bytes", "data"])
+
+    return stored(docs.mapInArrow(run, "lot long, bytes long, data binary"), "lots")
+
+
+def _beyond(rows: pa.Table) -> pa.Table:
+    """What the other lots add to each lot's keys of one bucket, in their order; the first row has the bucket's words, those in targets, and how many differ."""
+    sizes = rows["n"].to_pylist()
+    parts = [_unpacked(d, n, 3) for d, n in zip(rows["data"].to_pylist(), sizes, strict=True)]
+    keys = np.concatenate([np.cumsum(p[0]) for p in parts])
+    order = np.argsort(keys)
+    k = keys[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    run = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(k)]))
+    word = (k[first] & _ONE == 0) & (k[first] != START)
+    facts, added = [], []
+    for i in (1, 2):
+        own = np.concatenate([p[i] for p in parts])[order]
+        sums = np.add.reduceat(own, first)
+        facts.append(int(sums[word].sum()))
+        added.append(np.empty(len(k), np.uint64))
+        added[-1][order] = sums[run] - own
+    ends = np.cumsum([0, *sizes])
+    data = [_packed(added[0][a:b], added[1][a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    fact = [pa.array([x, *[0] * (len(sizes) - 1)], pa.int64()) for x in (*facts, int(word.sum()))]
+    return pa.Table.from_arrays([*(rows[c].combine_chunks() for c in ("lot", "bucket", "n")), pa.array(data, pa.binary()), *fact], ["lot", "bucket", "n", "data", "words", "marked", "size"])
 
 
 def score(docs: DataFrame, text: str = "text", target: str = "target") -> DataFrame:
@@ -132,90 +150,50 @@ def score(docs: DataFrame, text: str = "text", target: str = "target") -> DataFr
     spark = docs.sparkSession
     bounded_batches(spark)
     slim = docs.drop(*(c for c in new if c != text)).withColumn(target, F.coalesce(F.col(target), F.lit(False)))
-    texts = slim.select(text, target)
-    counted = stored(texts.mapInArrow(_word_counts, "k long, n long, t long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "word-counts")
-    own = F.col("k") != START
-    got = counted.agg(F.sum(F.when(own, F.col("n"))), F.sum(F.when(own, F.col("t"))), F.count_if(own)).first()
-    total, t_total, size = got[0] or 0, got[1] or 0, got[2]
-    # At most WORDS rows, and the start.
-    common = _table(counted.where((F.col("n") >= total / WORDS) | ~own).toArrow())
-
-    def pair_counts(among: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def pairs() -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
-                for b in lots(batches):
-                    v, w, owner, _ = _sequences(b.column(0))
-                    keys, flag = _paired(v, w), _flags(b.column(1))[owner]
-                    if among is not None:
-                        at = np.flatnonzero(_places((among.value,) * 3, keys)[0])
-                        keys, flag = keys[at], flag[at]
-                    yield keys, [np.ones(len(keys), np.int64), flag], []
-
-            for k, sums, _ in _summed(pairs()):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, *sums)], ["k", "n", "t"])
-
-        return run
-
-    def summed(rows: DataFrame, among: Broadcast | None) -> DataFrame:
-        return rows.mapInArrow(pair_counts(among), "k long, n long, t long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-    part = texts.where(F.pmod(F.xxhash64(text), F.lit(PART)) == 0)
-    # The counts of a part sum to its words, so at most about PAIRS / PART pairs reach the floor, and PAIRS in any case.
-    chosen = summed(part, None).where(F.col("n") >= max(total / PART / PAIRS, 2)).orderBy(F.desc("n"), "k").limit(PAIRS).select("k").toArrow()
-    among = spark.sparkContext.broadcast(np.sort(np.asarray(chosen["k"]).astype(np.int64)))
-    found = summed(texts, among).where("n >= 2").toArrow()
-    shared = spark.sparkContext.broadcast((common, _table(found)))
-
-    def rare_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        singles, pairs = shared.value
-        for b in lots(batches):
-            v, w, owner, _ = _sequences(b.column(0))
-            keys = _paired(v, w)
-            a, c = np.flatnonzero(~_places(singles, w)[0]), np.flatnonzero(~_places(pairs, keys)[0])
-            k, o = np.concatenate([w[a], keys[c]]), np.concatenate([owner[a], owner[c]])
-            # Once a document, with its number there; the lowest bit tells whether the document is a target.
-            order = np.lexsort((k, o))
-            k, o = k[order], o[order]
-            at = np.flatnonzero(np.r_[len(k) > 0, (k[1:] != k[:-1]) | (o[1:] != o[:-1])])
-            m = 2 * np.diff(np.r_[at, len(k)]) + _flags(b.column(1))[o[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(k[at]), b.column(2).take(pa.array(o[at])), pa.array(m)], ["k", "ref", "m"])
-
-    # Equal rows share a reference; each of them is counted, and each gets what comes back.
-    ref = F.xxhash64(*slim.columns)
-    met = slim.select(text, target, ref.alias("ref")).mapInArrow(rare_keys, "k long, ref long, m long")
-    key = W.partitionBy("k")
-    times, flagged = F.shiftright("m", 1), F.when(F.col("m").bitwiseAND(F.lit(1)) == 1, F.shiftright("m", 1)).otherwise(0)
-    back = stored(met.select("ref", "k", F.sum(times).over(key).alias("n"), F.sum(flagged).over(key).alias("t")).where("n >= 2"), "rare-counts")
-    drop_shuffles(spark)
-    lists = back.groupBy("ref").agg(F.collect_list(F.struct("k", "n", "t")).alias("__rare")).withColumnRenamed("ref", "__ref")
-    joined = slim.withColumn("__ref", ref).join(lists.hint("merge"), "__ref", "left").drop("__ref")
     names = slim.columns
+    at, mark = names.index(text), names.index(target)
+    held = in_lots(slim, text)
+    drop_shuffles(spark)
+    # A word and the space after it are about six bytes.
+    buckets = 1 + (held.agg(F.sum("bytes")).first()[0] or 0) // (6 * WORDS)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for lot, data in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+                b = _read(data.as_py())
+                own = _Keys(b.column(at), b.column(mark))
+                # Buckets are ranges of keys, so each has a slice.
+                bucket = ((own.keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                first = np.flatnonzero(np.r_[len(bucket) > 0, bucket[1:] != bucket[:-1]])
+                ends = np.r_[first, len(bucket)]
+                blobs = [_packed(np.diff(own.keys[i:j], prepend=np.uint64(0)), own.n[i:j], own.t[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), lot)), pa.array(bucket[first].astype(np.int64)), pa.array(np.diff(ends)), pa.array(blobs, pa.binary())], ["lot", "bucket", "n", "data"])
+
+    blobs = "lot long, bucket long, n long, data binary"
+    met = held.select("lot", "data").mapInArrow(sent, blobs).groupBy("bucket").applyInArrow(_beyond, f"{blobs}, words long, marked long, size long")
+    back = stored(met, "counts")
+    drop_shuffles(spark)
+    total, t_total, size = (x or 0 for x in back.agg(F.sum("words"), F.sum("marked"), F.sum("size")).first())
+    lists = back.groupBy("lot").agg(F.collect_list(F.struct("bucket", "n", "data")).alias("added"))
+    joined = held.select("lot", "data").join(lists.hint("merge"), "lot", "left").select("data", "added")
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        singles, pairs = shared.value
-        for b in lots(batches, names.index(text)):
-            v, w, owner, start = _sequences(b.column(names.index(text)))
-            flag = _flags(b.column(names.index(target)))
-            rare = b.column(len(names)).flatten()
-            k, first = np.unique(np.asarray(rare.field("k")).astype(np.int64), return_index=True)
-            own_table = (k, np.asarray(rare.field("n")).astype(np.int64)[first], np.asarray(rare.field("t")).astype(np.int64)[first])
-
-            def count(keys: np.ndarray, often: Table, n: np.ndarray, t: np.ndarray, own_table: Table = own_table) -> tuple[np.ndarray, np.ndarray]:
-                for table in (own_table, often):
-                    hit, at = _places(table, keys)
-                    n[hit], t[hit] = table[1][at[hit]], table[2][at[hit]]
-                return n.astype(float), t.astype(float)
-
-            # What is in no table occurs once, here.
-            nw, tw = count(w, singles, np.ones(len(w), np.int64), flag[owner])
-            nv, tv = count(v, singles, np.ones(len(v), np.int64), flag[owner])
-            nb, tb = count(_paired(v, w), pairs, np.zeros(len(w), np.int64), np.zeros(len(w), np.int64))
-            n_words = np.diff(start)
-            out = []
-            for both, one, all_of_it, n in ((tb, tv, tw, t_total), (nb, nv, nw, total)):
-                loss = -np.log(MU * both / np.maximum(one, 1) + (1 - MU) * (all_of_it + 1) / (n + size + 1))
-                out.append(pa.array(np.bincount(owner, loss, b.num_rows) / np.maximum(n_words, 1), mask=n_words == 0))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(n_words.astype(np.int64)), *out], [*names, *new[:3]])
+        for rows in batches:
+            for data, added in zip(rows.column(0), rows.column(1), strict=True):
+                b = _read(data.as_py())
+                own = _Keys(b.column(at), b.column(mark))
+                parts = sorted(added.as_py() or (), key=lambda x: x["bucket"])
+                if parts:
+                    more = np.concatenate([_unpacked(x["data"], x["n"], 2) for x in parts], axis=1)
+                    own.n, own.t = own.n + more[0], own.t + more[1]
+                n_words = np.diff(own.start)
+                # A pair that occurs once is as good as not seen.
+                listed = own.n[own.pair] >= 2
+                out = []
+                for count, n in ((own.t.astype(float), t_total), (own.n.astype(float), total)):
+                    loss = -np.log(MU * np.where(listed, count[own.pair], 0) / np.maximum(count[own.before], 1) + (1 - MU) * (count[own.word] + 1) / (n + size + 1))
+                    out.append(pa.array(np.bincount(own.owner, loss, b.num_rows) / np.maximum(n_words, 1), mask=n_words == 0))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n_words.astype(np.int64)), *out], [*names, *new[:3]])
 
     schema = T.StructType([*slim.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("loss_target", T.DoubleType()), T.StructField("loss_background", T.DoubleType())])
     return joined.mapInArrow(losses, schema).withColumn("score", F.col("loss_target") - F.col("loss_background"))
