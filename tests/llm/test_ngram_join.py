@@ -58,6 +58,24 @@ def test_matches_brute_force(spark, monkeypatch, seed, long, shared):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute(texts)
 
 
+def test_pairs_that_meet_by_chance_send_no_prefixes(spark, monkeypatch):
+    sizes, stored = {}, ngram_join.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    shared = [f"s{i}" for i in range(16)]
+    texts = [" ".join([f"{i}a{j}" for j in range(44)] + shared + [f"{i}b{j}" for j in range(44)]) for i in range(30)]
+    texts += [texts[0] + " more", texts[1].replace("1a7", "other")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out, _ = ngram_join.near_duplicates(docs, shared=1000)  # no shingle is put last
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute(texts)
+    assert 4 <= sizes["prefix-sets"] <= 8  # but for the two near copies and theirs, all 32 meet others in one passage alone
+
+
 def test_empty_table(spark):
     assert ngram_join.op4_ngram_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

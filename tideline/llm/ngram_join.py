@@ -15,8 +15,10 @@ pair also needs 9 * min(n - p, m - q) >= 4 * (n + m) at some place where it meet
    time, not links.
 3. Prefixes are dealt by shingle and sorted.  A shingle with up to ``LONG``
    classes gives all pairs of classes of fitting size, which is linear in the
-   number of prefix entries.  The second order's prefixes are made only of classes
-   that form pairs, or are in longer runs, under the first.  A pair goes on only if its
+   number of prefix entries.  The shingles at which a pair meets are counted; with those that the
+   two may share in longer runs they must be as many as a Jaccard of 0.8 needs, so pairs
+   that meet by chance stay rows of numbers.  Whole prefixes, of both orders, are made only
+   of classes that form such pairs, or are in longer runs.  A pair goes on only if its
    prefixes share, under either order, as many shingles as a Jaccard of 0.8 needs.
 4. A shingle with more classes (a large group of near copies) gives no pairs at
    first: its classes are compared with one of them, the one that holds most of
@@ -224,7 +226,8 @@ def prefix_sets(docs: DataFrame, shared: list[np.ndarray], k: int, text: str, wa
 def _pairs_of_runs(batches: Iterator[pa.RecordBatch], long: int = LONG) -> Iterator[pa.RecordBatch]:
     """Sorted (t, n, cls, p) -> (kind, a, b, n, p, m); runs of over ``long`` classes are long.
 
-    kind 1: a pair of classes that meet, with their sizes n and m; 3: an entry (t, class) of a long run.
+    kind 1: a pair of classes that meet, with their sizes n and m, p being how often they do; 2: one that meets only where
+    both have too little left to be linked, unless it meets elsewhere; 3: an entry (t, class) of a long run.
     """
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, p: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
@@ -252,19 +255,23 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch], long: int = LONG) -> Itera
                 part = at[low : low + 1 + 2_000_000 // len(i)]
                 a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
                 fits = 5 * n[a] >= 4 * n[b]  # n rises within a run
-                fits &= 9 * np.minimum(n[a] - p[a], n[b] - p[b]) >= 4 * (n[a] + n[b])
                 a, b = a[fits], b[fits]
+                late = 9 * np.minimum(n[a] - p[a], n[b] - p[b]) < 4 * (n[a] + n[b])
                 turn = c[a] > c[b]
                 a, b = np.where(turn, b, a), np.where(turn, a, b)
-                found.append(np.stack([c[a], c[b], n[a], n[b]]))
+                found.append(np.stack([c[a], c[b], n[a], n[b], late]))
         if found:
-            a, b, na, nb = np.concatenate(found, axis=1)
-            order = np.lexsort((b, a))
-            a, b, na, nb = a[order], b[order], na[order], nb[order]
+            a, b, na, nb, late = np.concatenate(found, axis=1)
+            order = np.lexsort((late, b, a))
+            a, b, na, nb, late = a[order], b[order], na[order], nb[order], late[order]
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            if new.any():
-                yield rows(1, a[new], b[new], na[new], np.zeros(int(new.sum()), np.int64), nb[new])
+            at = np.flatnonzero(new)
+            times = np.diff(np.r_[at, len(a)])
+            for kind in (1, 2):
+                own = late[at] == kind - 1
+                if own.any():
+                    yield rows(kind, a[at[own]], b[at[own]], na[at[own]], times[own], nb[at[own]])
 
     none = np.zeros(0, np.int64)
     t = n = c = p = none
@@ -359,6 +366,19 @@ def _meet(one: str, two: str) -> str:
     return f"9 * (size(array_intersect({one}, {two})) + greatest(n - size({one}), m - size({two}))) >= 4 * (n + m)"
 
 
+def _often(met: DataFrame, weight: DataFrame) -> DataFrame:
+    """Pairs (a, b, n, m) that may share as much of their first prefixes as ``_meet`` asks for, by counts alone.
+
+    What two classes share in short runs is counted; of what they have in long runs,
+    weight(cls, w), they share at most what one of them has.
+    """
+    pairs = met.where("kind < 3").groupBy("a", "b", "n", "m").agg(F.sum("p").alias("c"), F.min("kind").alias("kind")).where("kind = 1")
+    of_a, of_b = (weight.select(F.col("cls").alias(c), F.col("w").alias(f"w_{c}")) for c in "ab")
+    beyond = lambda n: f"{n} - ({n} - (4 * {n} + 4) div 5 + 1)"  # noqa: E731  what is beyond a prefix
+    may = f"9 * (c + least(coalesce(w_a, 0), coalesce(w_b, 0)) + greatest({beyond('n')}, {beyond('m')})) >= 4 * (n + m)"
+    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(may).select("a", "b", "n", "m")
+
+
 def _stars(entries: DataFrame, total: int) -> DataFrame:
     """Pairs of each class of a long run with the run's class that is in most long runs: entries(t, cls, n, p, w)."""
     lead = entries.groupBy("t").agg(F.max(F.struct("w", "n", "cls", "p")).alias("x"), F.count(F.lit(1)).alias("size"))
@@ -425,14 +445,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, text: str = "text", key: str =
     runs = prefixes(docs, bands, k, text).repartition("t").sortWithinPartitions("t", "n", "cls").select("t", "n", "cls", "p")
     met = stored(runs.mapInArrow(lambda batches: _pairs_of_runs(batches, long), "kind int, a long, b long, n long, p long, m long"), "met")
     drop_shuffles(docs.sparkSession)
-    one = met.where("kind = 1").select("a", "b", "n", "m").distinct()
-    entries = met.where("kind = 3").select(F.col("a").alias("t"), F.col("b").alias("cls"), "n", "p").distinct()
+    entries = stored(met.where("kind = 3").select(F.col("a").alias("t"), F.col("b").alias("cls"), "n", "p").distinct(), "long-entries")
     weight = entries.groupBy("cls").agg(F.count(F.lit(1)).alias("w"))
+    one = stored(_often(met, weight), "often-met")
     wanted = bit_array(one.select(F.col("a").alias("cls")).union(one.select("b")).union(entries.select("cls")), "cls")
     sets = stored(prefix_sets(docs, bands, k, text, wanted), "prefix-sets")
     drop_shuffles(docs.sparkSession)
     pairs = stored(_meeting_twice(one, sets), "twice-met")
-    entries = stored(entries, "long-entries")
+    drop_shuffles(docs.sparkSession)
     total = entries.count()
     if total:
         entries = stored(join_skewed(entries, weight, ["cls"], "w", total), "long-runs")
